@@ -82,3 +82,24 @@ def packed(docs: DataFrame) -> DataFrame:
 def unpack(column: pa.Array) -> list[bytes]:
     large = zstandard.ZstdDecompressor()
     return [large.decompress(x) for x in column.to_pylist()]
+
+
+#: Rows of a table that may be broadcast (24 MB or so in a hash table).
+BROADCAST_ROWS = 500_000
+
+
+def with_texts(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, row, data) joined with ``picked`` (doc_id and more).
+
+    ``picked`` is counted: up to BROADCAST_ROWS rows it is broadcast, beyond that
+    the texts go through a shuffle, compressed.
+    """
+    if picked.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(picked), "doc_id")
+    wide = packed(docs).join(picked, "doc_id")
+    names = [c for c in wide.columns if c != "packed"]
+
+    def step(batch: pa.RecordBatch) -> dict:
+        return {c: batch[c] for c in names} | {"data": pa.array(unpack(batch["packed"]), pa.binary())}
+
+    return columns(wide, ", ".join(f"{c} {t}" for c, t in wide.dtypes if c != "packed") + ", data binary", step)

@@ -41,14 +41,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARKS = np.ones(256, bool)  # all but ASCII letters, digits and what is not ASCII
+for _from, _to in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
+    _MARKS[_from:_to] = False
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _FOLDED = _BYTE.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 
 
-def _bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bounds(data: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     space = np.ones(len(data) + 2, bool)
-    space[1:-1] = _SPACE[data]
+    space[1:-1] = gaps[data]
     edge = np.flatnonzero(space[1:] != space[:-1])
     return edge[::2], edge[1::2]
 
@@ -58,28 +61,31 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _bounds(np.frombuffer(text, np.uint8))
 
 
-def _hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    start, end = _bounds(data)
+def _hashes(data: np.ndarray, table: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    start, end = _bounds(data, gaps)
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * up[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start])
 
 
-def word_hashes(text: bytes, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word, in order; ``fold`` reads A-Z as a-z."""
-    table, data = (_FOLDED if fold else _BYTE), np.frombuffer(text, np.uint8)
+def word_hashes(text: bytes, fold: bool = False, marks: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word, in order.
+
+    ``fold`` reads A-Z as a-z; ``marks`` also splits at ASCII punctuation.
+    """
+    table, gaps, data = (_FOLDED if fold else _BYTE), (_MARKS if marks else _SPACE), np.frombuffer(text, np.uint8)
     if len(data) <= CHUNK:
-        return _hashes(data, table)
+        return _hashes(data, table, gaps)
     parts, at = [], 0
     while at < len(data):
         end = min(at + CHUNK, len(data))
         while end < len(data):  # to the end of the word, however long it is
-            gap = np.flatnonzero(_SPACE[data[end : end + CHUNK]])
+            gap = np.flatnonzero(gaps[data[end : end + CHUNK]])
             end = end + int(gap[0]) if len(gap) else min(end + CHUNK, len(data))
             if len(gap):
                 break
-        parts.append(_hashes(data[at:end], table))
+        parts.append(_hashes(data[at:end], table, gaps))
         at = end
     return np.concatenate(parts)
 
