@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    """``path`` goes when the application ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
@@ -38,10 +44,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    jvm.System.gc()  # lets Spark drop the shuffle files of what was written
+    forget_later(spark, path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what was written
     return spark.read.schema(df.schema).parquet(path)
 
 

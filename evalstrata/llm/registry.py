@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import decontaminate, jaccard_join, pii, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, toxicity, url_filter, warc
+from .url_filter import UrlRule
+
+#: Where the public vocabularies are; only paths, nothing is copied.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+URL_RULES = [UrlRule("allow", "com"), UrlRule("block", "example.com", "/en/"), UrlRule("allow", "www.example.com", "/en/"), UrlRule("block", "net", "/es/"), UrlRule("block", "net", "/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,13 +113,57 @@ FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(_table(spark, sf_dir, "documents"), redacted=False)
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), sentencepiece_codec.load(MODEL_FILE)).drop("row")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP7_SQL = r"""
+WITH r(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(verdict, length(r.host || r.path)) AS verdict
+      FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND (starts_with(p.path, r.path) OR (p.path = '' AND r.path = '/')) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
+"""
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records(warc.read(warc.write(_table(spark, sf_dir, "pages"))))
+
+
+OP9_SQL = r"""
+WITH b AS (SELECT page_id, strlen(coalesce(html, '')) AS n, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits FROM pages),
+d AS (SELECT page_id, CAST(n AS BIGINT) AS n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          CAST(1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+          + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS INT), 1)), '') AS digest FROM b),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_pii": op3_pii,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_url_filter": op7_url_filter,
         "op8_decontaminate": op8_decontaminate,
+        "op9_warc": op9_warc,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
@@ -122,6 +172,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_substring_dedup": OP5_SQL,
         "op6_quality_rules": OP6_SQL,
+        "op7_url_filter": OP7_SQL,
         "op8_decontaminate": OP8_SQL,
+        "op9_warc": OP9_SQL,
         "op10_jaccard_join": OP10_SQL,
     }
