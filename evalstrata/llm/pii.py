@@ -182,3 +182,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
 
     schema = "doc_id long, row int, " + "".join(f"n_{k} long, " for k in BASE_KINDS) + "base string, spans string, redacted string"
     return frames.columns(frames.documents(docs, id_col, text_col), schema, step)
+
+
+def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with personal data in ``text_col`` replaced by its kind in brackets; a null text stays null."""
+
+    def run(batches):
+        anchors = automaton()
+        for batch in batches:
+            texts = [None if t is None else redact(t, find(t, anchors)) for t in batch[text_col].to_pylist()]
+            at = batch.schema.get_field_index(text_col)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

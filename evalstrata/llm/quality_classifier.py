@@ -115,3 +115,19 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         return {"doc_id": batch["doc_id"], "row": batch["row"], "expected_grade": expected, "tail_probability": upper, "selected": upper >= tail}
 
     return frames.columns(frames.documents(docs, id_col, text_col), "doc_id long, row int, expected_grade double, tail_probability double, selected boolean", step)
+
+
+def select(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least: int | None = None, tail: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``grade`` would select, with all their columns, in one pass."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    cut = int(np.searchsorted(model.grades, least)) - 1 if least is not None else 0
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for text in batch[text_col].to_pylist():
+                t = held.value.tails(held.value.line((text or "").encode()))
+                keep.append(bool((t[cut] if 0 <= cut < len(t) else float(cut < 0 or not len(t))) >= tail))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
