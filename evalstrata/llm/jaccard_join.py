@@ -13,10 +13,12 @@ common shingles last, so passages that many documents quote sign nothing.
 (64 shingles or more in at least as many parts occupy over d parts but for a
 chance below 1e-15.)
 
-Verification never enumerates a group's pairs at once.  Each group that shares a
-signature is first held against its smallest member; what links there is one
-component.  Only pairs in different components go to a second round.  Candidate
-pairs are checked exactly on the documents' sets.
+Verification never emits a group's pairs.  Each group that shares a signature
+is first held against its best-connected member; what links there is one
+component.  In groups that still hold several components, a pair across
+components goes on only if 1024-bit parity sketches of its sets differ in at
+most d bits, which no linking pair exceeds.  Candidate pairs are checked exactly
+on the documents' sets.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ from .text import Sequences, mix, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles whose counts order the signatures: at most so many (4 MB), each in so many documents at least.  They steer cost, never results.
-COMMON, COMMON_FROM = 1 << 18, 8
-#: Shingles counted together in one task; those seen less than four times there are left out of the order.
+COMMON, COMMON_FROM = 1 << 18, 4
+#: Shingles counted together in one task; those seen once there are left out of the order.
 COUNTED = 1 << 22
+#: Bits of the parity sketch of a set.
+SKETCH = 1024
 #: Exact copies within a task sign once; so many sets are remembered for that.
 SEEN = 100_000
 SMALL = 64
@@ -56,13 +60,18 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
     def count(held: list[np.ndarray]) -> pa.RecordBatch:
         value, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_pydict({"shingle": value[n >= 4].view(np.int64), "n": n[n >= 4]})
+        return pa.RecordBatch.from_pydict({"shingle": value[n >= 2].view(np.int64), "n": n[n >= 2]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, total, seen = [], 0, set()
         for batch in batches:
             for text in frames.blobs(batch["data"]):
                 words = word_hashes(text, fold=True)
+                name = xxhash.xxh3_64_intdigest(words.tobytes())
+                if name in seen:  # copies would crowd out what other documents quote
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(name)
                 held.append(Sequences(words).windows(size))
                 total += len(words)
                 if total >= COUNTED:
@@ -98,21 +107,28 @@ def signatures(members: np.ndarray, count: np.ndarray, percent: int) -> np.ndarr
     return np.concatenate(out)
 
 
+def sketch_of(members: np.ndarray) -> bytes:
+    """The parity of the number of members in each of SKETCH slots; two sketches differ in no more bits than their sets in members."""
+    slot = (mix(members) >> np.uint64(33)).astype(np.int64) % SKETCH
+    return np.packbits(np.bincount(slot, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
 def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), a, b (128 bits naming the set) and signatures; a task signs each set once."""
+    """doc_id, n (set size), a, b (128 bits naming the set), sketch and signatures; a task signs each set once."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = held.value
         seen: set[int] = set()
         for batch in batches:
-            n, a, b, signs = [], [], [], []
+            n, a, b, sketches, signs = [], [], [], [], []
             for text in frames.blobs(batch["data"]):
                 members = shingles_of(text, size)
                 name = xxhash.xxh3_128_intdigest(members.tobytes())
                 n.append(len(members))
                 a.append((name >> 64) - (1 << 63))
                 b.append((name & ((1 << 64) - 1)) - (1 << 63))
+                sketches.append(sketch_of(members))
                 if name in seen or not len(members):
                     signs.append(np.zeros(0, np.uint64))
                     continue
@@ -124,9 +140,9 @@ def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if n:
                 ends = np.cumsum([0, *map(len, signs)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(signs).view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(n, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "signatures": lists})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(n, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sketch": pa.array(sketches, pa.binary()), "signatures": lists})
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, signatures array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, sketch binary, signatures array<long>")
 
 
 def _grouped(df: DataFrame, key: str, schema: str, step) -> DataFrame:
@@ -148,28 +164,59 @@ def _grouped(df: DataFrame, key: str, schema: str, step) -> DataFrame:
     return df.repartition(key).mapInArrow(run, schema)
 
 
-def _with_leader(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
-    least = np.minimum.reduceat(cols["doc_id"], edge)
+def _shared(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
+    """Rows whose signature another row has."""
     keep = np.repeat(size > 1, size)
-    yield {"sign": cols["sign"][keep], "doc_id": cols["doc_id"][keep], "lead": np.repeat(least, size)[keep]}
+    yield {"sign": cols["sign"][keep], "doc_id": cols["doc_id"][keep]}
+
+
+def _stars(percent: int):
+    """Each group's best-connected node with every other node of a fitting size."""
+
+    def step(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
+        group = np.repeat(np.arange(len(edge)), size)
+        order = np.lexsort((cols["node"], -cols["degree"], group))
+        lead, lead_n = (np.repeat(cols[c][order][edge], size) for c in ("node", "n"))
+        node, n = cols["node"], cols["n"]
+        keep = (node != lead) & (np.minimum(n, lead_n) * 100 >= np.maximum(n, lead_n) * percent)
+        pairs = np.unique(np.stack([np.minimum(node, lead), np.maximum(node, lead)], 1)[keep], axis=0)
+        yield {"u": pairs[:, 0], "v": pairs[:, 1]}
+
+    return step
+
+
+def _open(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
+    """Rows of groups that hold several components."""
+    lowest, highest = (f.reduceat(cols["component"], edge) for f in (np.minimum, np.maximum))
+    keep = np.repeat(lowest != highest, size)
+    yield {c: cols[c][keep] for c in ("sign", "node", "component", "n")}
 
 
 def _across(percent: int):
+    """Pairs of a group in different components that sizes and sketches allow to link."""
+
     def step(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
-        lowest, highest = (f.reduceat(cols["component"], edge) for f in (np.minimum, np.maximum))
+        sketches = np.frombuffer(b"".join(cols["sketch"]), np.uint64).reshape(-1, SKETCH // 64)
         held, total = [], 0
-        for at, n in zip(edge[lowest != highest], size[lowest != highest], strict=True):
-            node, part, many = (cols[c][at : at + n] for c in ("node", "component", "n"))
-            for i in range(n - 1):
-                fits = (part[i + 1 :] != part[i]) & (np.minimum(many[i + 1 :], many[i]) * 100 >= np.maximum(many[i + 1 :], many[i]) * percent)
-                other = node[i + 1 :][fits]
+        for at, count in zip(edge, size, strict=True):
+            _, first = np.unique(cols["node"][at : at + count], return_index=True)
+            pick = at + first
+            node, part, many, sketch = cols["node"][pick], cols["component"][pick], cols["n"][pick], sketches[pick]
+            value, where, common = np.unique(part, return_inverse=True, return_counts=True)
+            inside = where == common.argmax()  # the largest component; its members need each other no more
+            for i in np.flatnonzero(~inside):
+                other = np.flatnonzero((part != part[i]) & (inside | (np.arange(len(node)) > i)))
+                most = (100 - percent) * (many[other] + many[i]) // (100 + percent)
+                other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= most]
+                fits = np.minimum(many[other], many[i]) * 100 >= np.maximum(many[other], many[i]) * percent
+                other = node[other[fits]]
                 held.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], 1))
                 total += len(other)
-                if total > 1_000_000:
-                    held, total = [np.unique(np.concatenate(held), axis=0)], 0
-                    if len(held[0]) > 500_000:
-                        yield {"u": held[0][:, 0], "v": held[0][:, 1]}
-                        held = []
+            if total > 500_000:
+                held, total = [np.unique(np.concatenate(held), axis=0)], 0
+                if len(held[0]) > 250_000:
+                    yield {"u": held[0][:, 0], "v": held[0][:, 1]}
+                    held = []
         if held:
             pairs = np.unique(np.concatenate(held), axis=0)
             yield {"u": pairs[:, 0], "v": pairs[:, 1]}
@@ -208,22 +255,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = frames.documents(docs, id_col, text_col)
     sets = frames.written(signed_sets(rows, size, percent), "sets")
     some = sets.filter("n > 0 and doc_id is not null")
+    shared = frames.written(_grouped(some.select("doc_id", F.explode("signatures").alias("sign")), "sign", "sign long, doc_id long", _shared), "shared")
     heads = some.groupBy("a", "b").agg(F.min("doc_id").alias("head"))
-    nodes = frames.written(some.select("doc_id", "n", "a", "b").join(heads, ["a", "b"]).groupBy("doc_id").agg(F.min("head").alias("head"), F.max("n").alias("n")), "nodes")
-    shared = frames.written(_grouped(some.select("doc_id", F.explode("signatures").alias("sign")), "sign", "sign long, doc_id long, lead long", _with_leader), "shared")
-    head_of = nodes.select(F.col("doc_id").alias("at"), "head", F.col("n").alias("size"))
-    pairs = shared.filter("lead != doc_id").select("lead", "doc_id").distinct()
-    pairs = pairs.join(head_of.toDF("lead", "x", "xn"), "lead").join(head_of.toDF("doc_id", "y", "yn"), "doc_id")
-    pairs = pairs.filter("x != y").filter(F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
-    pairs = frames.written(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "pairs")
+    nodes = some.select("doc_id", "n", "a", "b", "sketch").join(heads, ["a", "b"]).groupBy("doc_id").agg(F.min_by(F.struct(F.col("head").alias("node"), "n", "sketch"), "head").alias("x"))
+    degree = shared.groupBy("doc_id").agg(F.count("*").alias("degree"))
+    nodes = frames.written(nodes.join(degree, "doc_id", "left").select("doc_id", "x.*", F.coalesce("degree", F.lit(0)).alias("degree")), "nodes")
     texts = frames.packed(rows)
+    stars = shared.join(nodes.drop("sketch"), "doc_id").select("sign", "node", "n", "degree")
+    pairs = frames.written(_grouped(stars, "sign", "u long, v long", _stars(percent)).distinct(), "pairs")
     links = frames.written(_verified(pairs, texts, size, percent), "linked")
-    found = components(links)
-    rest = nodes.join(found, nodes["head"] == found["node"], "left").select(F.col("doc_id").alias("at"), F.col("head").alias("node"), "n", F.coalesce("component", "head").alias("component"))
-    rest = shared.select("sign", "doc_id").join(rest, F.col("doc_id") == F.col("at")).select("sign", "node", "component", "n")
-    rest = _grouped(rest, "sign", "u long, v long", _across(percent)).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = frames.written(_verified(rest, texts, size, percent), "linked")
-    same = nodes.filter("head != doc_id").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
+    found = components(links).withColumnRenamed("node", "known")
+    parts = nodes.join(found, nodes["node"] == found["known"], "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("component"))
+    still = frames.written(_grouped(shared.join(parts, "doc_id").select("sign", "node", "component", "n"), "sign", "sign long, node long, component long, n long", _open).distinct(), "open")
+    sketches = nodes.filter("node = doc_id").select("node", "sketch")
+    rest = _grouped(still.join(sketches, "node"), "sign", "u long, v long", _across(percent)).distinct().join(pairs, ["u", "v"], "left_anti")
+    more = frames.written(_verified(frames.written(rest, "rest"), texts, size, percent), "linked")
+    same = nodes.filter("node != doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     final = components(links.unionByName(more).unionByName(same))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
