@@ -1,0 +1,208 @@
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from evalstrata.llm import decontaminate, pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from evalstrata.llm.registry import MODEL_FILE
+
+from . import cases
+
+
+def python_nodes(df) -> list[str]:
+    return re.findall(r"Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def repeats(words: list[str]) -> int:
+    where: dict[tuple, list[int]] = {}
+    for p in range(len(words) - 7):
+        where.setdefault(tuple(words[p : p + 8]), []).append(p)
+    return len({p + k for at in where.values() if len(at) > 1 for p in at for k in range(8)})
+
+
+def test_quality_measures_equal_brute_force(spark):
+    rows = [*cases.documents(), (900, "a b c d e f g h\n" * 5), (901, "### $$$ | x\n\n \nx\nx\n### $$$ | x"), (902, "z " * 40)]
+    df = quality_rules.judge(cases.frame(spark, rows))
+    assert not python_nodes(df)
+    want = []
+    for i, t in rows:
+        w = cases.SPACE.findall(t or "")
+        lines = [x for x in (t or "").split("\n") if cases.SPACE.search(x)]
+        n_repeat = repeats(w)
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), n_repeat, len(w) < 20 or 100 * n_repeat > 30 * len(w)))
+    got = df.collect()
+    assert cases.ordered((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == cases.ordered(want)
+    assert all(not r.kept for r in got if r.base_failed) and any(r.kept for r in got)
+    assert quality_rules.judge(cases.frame(spark, [])).collect() == []
+
+
+def test_rule_order_follows_rejections_per_cost_and_keeps_verdicts(spark):
+    rows = [(i, "WORD " * 30 if i % 2 else " ".join(f"w{k}x{i}" for k in range(30))) for i in range(20)]
+    measured = quality_rules.measures(cases.frame(spark, rows))
+    cheap, dear, idle = (quality_rules.Rule(n, r, c) for n, r, c in (("cheap", "n_words = 30 and doc_id % 2 = 1", "1"), ("dear", "doc_id % 2 = 1", "length(text)"), ("idle", "false", "1")))
+    assert [r.name for r in quality_rules.ordered(measured, (idle, dear, cheap))] == ["cheap", "dear", "idle"]
+    verdicts = [sorted((r.doc_id, r.kept) for r in quality_rules.judge(cases.frame(spark, rows), rules=order).collect()) for order in ((dear, cheap), (cheap, idle, dear))]
+    assert verdicts[0] == verdicts[1]
+
+
+def test_decontamination_equals_brute_force(spark):
+    rows = cases.documents()
+    long = rows[-8][1] if rows[-8][1] else ""
+    items = [(3, rows[10][1]), (20, "Two words"), (21, "two, WORDS!"), (5, None), (6, ""), (7, "!!"), (8, "one"), (9, " ".join(rows[14][1].split()[2:14])), (9, "changed"), (11, long[:400])]
+    df = decontaminate.decontaminate(cases.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert not python_nodes(df)
+    want = [(i, *cases.hits(t, items)) for i, t in rows]
+    assert cases.ordered((r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in df.collect()) == cases.ordered(want)
+    none = decontaminate.decontaminate(cases.frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect()
+    assert len(none) == len(rows) and not any(r.contaminated for r in none)
+    assert decontaminate.decontaminate(cases.frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).collect() == []
+
+
+def test_decontamination_without_broadcast(spark, monkeypatch):
+    rows, items = cases.documents(), [(1, cases.documents()[12][1]), (2, "one")]
+    want = decontaminate.decontaminate(cases.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    got = decontaminate.decontaminate(cases.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert cases.ordered(got) == cases.ordered(want)
+
+
+# The base patterns of personal data.
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def base_spans(text: str) -> list[tuple]:
+    def valid(kind: str, m: str) -> bool:
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
+            return 16 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    return [(k, *m.span()) for k, p in BASE.items() for m in p.finditer(text) if valid(k, m[0])]
+
+
+HARD = [
+    "a@b.co x.y+z@mail.example.com, a@b@c.de @x.yz a..b@c.d.e. a@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 1.2.3 01.002.3.255x 1..2.3.4 1.2.3.4.", "4111 1111 1111 1111 4111-1111-1111-1111- 41111111111111111 4111  111111111111",
+    "+1 (456) 555-2186 ++49 30 1234567 +1-2 +12345678901234567 +5", "IBAN DE89370400440532013000 iban: GB82 WEST 1234 5698 7654 32. Account no: 12345678, account 12", "http://user:pw@host.example.com/x ftp://u@h", "é@ü.de aé@b.co 😀1.1.1.1😀 +4930123456", "9" * 3000 + "." + "@" * 2000 + "+" * 50, "a" * 4000 + "@", "1.1" * 300,
+]
+
+
+def test_pii_base_spans_equal_the_patterns(spark):
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("a1@.+- 4(9"), 60)) for _ in range(300)]
+    anchors = pii.automaton()
+    for text in [*HARD, *noise]:
+        got = [s for s in pii.find(text, anchors) if s[0] in pii.BASE_KINDS]
+        want = sorted(base_spans(text), key=lambda s: (pii.BASE_KINDS.index(s[0]), s[1]))
+        assert got == want, text[:80]
+    rows = [*cases.documents(), *[(1000 + i, t) for i, t in enumerate(HARD)]]
+    got = pii.find_pii(cases.frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert all(r.n_email + r.n_ip + r.n_card + r.n_phone == (r.base.count(",") + 1 if r.base else 0) for r in got)
+    assert pii.find_pii(cases.frame(spark, [])).collect() == []
+
+
+def test_pii_adds_accounts_and_redacts(spark):
+    anchors = pii.automaton()
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, anchors)]
+    assert ("iban", "DE89370400440532013000") in kinds(HARD[4]) and ("iban", "GB82 WEST 1234 5698 7654 32") in kinds(HARD[4])
+    assert ("account", "12345678") in kinds(HARD[4]) and not any(v == "12" for _, v in kinds(HARD[4]))
+    assert kinds("ftp://user:pw@localhost/x") == [("userinfo", "user:pw")]
+    assert pii.redact("mail a@b.co now", pii.find("mail a@b.co now", anchors)) == "mail [EMAIL] now"
+    out = pii.redact_column(cases.frame(spark, [(1, "call +49 30 1234567!"), (2, None)]).select("doc_id", "text"), "text").orderBy("doc_id").collect()
+    assert [r.text for r in out] == ["call [PHONE]!", None]
+
+
+needs_model = pytest.mark.skipif(not Path(MODEL_FILE).exists(), reason="no public vocabulary here")
+
+
+@needs_model
+def test_sentencepiece_ids_equal_the_library_and_round_trip(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL_FILE)
+    vocabulary = sentencepiece_codec.load(MODEL_FILE)
+    odd = ["a  b", " a", "a ", "a\tb\nc", "\n\n x", "é\x00x", " ", "<s>hi</s>", "a\u200db\u3000ｱ", "日本語のテキスト", "😀 x", "a" * 300, "=" * 70, "    def f(x):\n        return 1\n", "internationalisation", "x" * 20_000]
+    rows = [*cases.documents(), *[(2000 + i, t) for i, t in enumerate(odd)]]
+    got = sentencepiece_codec.encode(cases.frame(spark, rows), vocabulary).collect()
+    assert cases.ordered((r.doc_id, list(r.ids)) for r in got) == cases.ordered((i, library.encode(t or "")) for i, t in rows)
+    assert all(r.n_tokens == len(r.ids) for r in got)
+    tokens = spark.createDataFrame([(r.doc_id, list(r.ids)) for r in got], "doc_id long, ids array<int>")
+    back = sentencepiece_codec.decode(tokens, vocabulary).collect()
+    assert cases.ordered((r.doc_id, r.text) for r in back) == cases.ordered((i, t or "") for i, t in rows)
+    assert sentencepiece_codec.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), vocabulary).count() == 2
+    assert sentencepiece_codec.encode(cases.frame(spark, []), vocabulary).collect() == []
+
+
+def labelled(n: int, word: str) -> tuple[list, list]:
+    rng = __import__("random").Random(2)
+    docs, labels = [], []
+    for i in range(n):
+        bad = i % 3 == 0
+        docs.append((i, cases.prose(rng, 40) + (f" {word} you {word}" if bad else "")))
+        labels.append((i, int(bad)))
+    return docs, labels
+
+
+def test_toxicity_learns_from_training_folds_only(spark):
+    import zlib
+
+    docs, labels = labelled(400, "idiot")
+    edge = [*docs, (5000, None), (5001, ""), (5002, "idiot"), (None, "idiot you idiot"), docs[0]]
+    known = spark.createDataFrame([*labels, (labels[0]), (7777, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(cases.frame(spark, edge), known).collect()
+    assert len(got) == len(edge) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    truth = dict(labels)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert len(held) > 40 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    # other labels in the held-out fold change nothing
+    flipped = spark.createDataFrame([(i, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, t in labels], "doc_id long, toxic int")
+    again = toxicity.score_toxicity(cases.frame(spark, edge), flipped).collect()
+    assert cases.ordered((r.doc_id, round(r.score, 9)) for r in got) == cases.ordered((r.doc_id, round(r.score, 9)) for r in again)
+
+
+def test_toxicity_without_labels_or_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(cases.frame(spark, cases.documents()), none).collect()
+    assert len({r.score for r in got}) == 1
+    assert toxicity.score_toxicity(cases.frame(spark, []), none).collect() == []
+
+
+def test_ordinal_regression_recovers_graded_ratings():
+    rng = np.random.default_rng(0)
+    grade = rng.integers(0, 4, 400)
+    texts = [" ".join(["good"] * (3 * g) + ["bad"] * (9 - 3 * g) + [f"w{rng.integers(50)}" for _ in range(6)]).encode() for g in grade]
+    model = quality_classifier.fit(texts, grade)
+    assert model.grades == (0, 1, 2, 3) and (np.diff(model.thresholds) > 0).all()
+    expected = [model.tails(model.line(t)).sum() for t in texts]
+    assert np.corrcoef(expected, grade)[0, 1] > 0.9
+    assert all((np.diff(model.tails(model.line(t))) <= 0).all() for t in texts)
+
+
+def test_quality_classifier_edges(spark):
+    docs, labels = labelled(300, "!!!")
+    ratings = spark.createDataFrame([*[(i, 1 - x) for i, x in labels], labels[0], (9999, None)], "doc_id long, quality int")
+    model = quality_classifier.train(cases.frame(spark, docs), ratings)
+    rows = cases.documents()
+    got = quality_classifier.grade(cases.frame(spark, rows), model).collect()
+    assert len(got) == len(rows) and all(0 <= r.tail_probability <= 1 and r.selected == (r.tail_probability >= 0.5) for r in got)
+    kept = quality_classifier.select(cases.frame(spark, rows).select("doc_id", "text"), model).collect()
+    assert len(kept) == sum(r.selected for r in got)
+    truth = dict(labels)
+    scored = quality_classifier.grade(cases.frame(spark, docs), model).collect()
+    assert np.mean([r.selected == (truth[r.doc_id] == 0) for r in scored]) > 0.95
+    one = quality_classifier.train(cases.frame(spark, docs), spark.createDataFrame([(1, 2)], "doc_id long, quality int"))
+    assert all(r.expected_grade == 2 and r.selected for r in quality_classifier.grade(cases.frame(spark, rows), one).collect())
+    none = quality_classifier.train(cases.frame(spark, []), spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality_classifier.grade(cases.frame(spark, []), none).collect() == []
