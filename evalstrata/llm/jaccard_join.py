@@ -192,31 +192,41 @@ def _open(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
     yield {c: cols[c][keep] for c in ("sign", "node", "component", "n")}
 
 
+#: Groups up to this size are paired offset by offset over whole partitions, larger ones row by row.
+PAIRED = 32
+
+
 def _across(percent: int):
-    """Pairs of a group in different components that sizes and sketches allow to link."""
+    """Pairs of a group in different components that sizes and sketches allow to link; a node is in a group once."""
 
     def step(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
+        node, part, many = (cols[c] for c in ("node", "component", "n"))
         sketches = np.frombuffer(b"".join(cols["sketch"]), np.uint64).reshape(-1, SKETCH // 64)
         held, total = [], 0
-        for at, count in zip(edge, size, strict=True):
-            _, first = np.unique(cols["node"][at : at + count], return_index=True)
-            pick = at + first
-            node, part, many, sketch = cols["node"][pick], cols["component"][pick], cols["n"][pick], sketches[pick]
-            value, where, common = np.unique(part, return_inverse=True, return_counts=True)
+
+        def fitting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Rows x and y (of equal length, or y one row) as the pairs that may link."""
+            keep = (part[x] != part[y]) & (np.minimum(many[x], many[y]) * 100 >= np.maximum(many[x], many[y]) * percent)
+            x, y = x[keep], np.broadcast_to(y, keep.shape)[keep]
+            most = (100 - percent) * (many[x] + many[y]) // (100 + percent)
+            keep = np.bitwise_count(sketches[x] ^ sketches[y]).sum(1) <= most
+            a, b = node[x[keep]], node[y[keep]]
+            return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+        end = np.repeat(edge + size, size)
+        rows = np.flatnonzero(np.repeat(size <= PAIRED, size))
+        for k in range(1, PAIRED):
+            rows = rows[rows + k < end[rows]]
+            for at in range(0, len(rows), 200_000):
+                held.append(fitting(rows[at : at + 200_000], rows[at : at + 200_000] + k))
+        for at, count in zip(edge[size > PAIRED], size[size > PAIRED], strict=True):
+            value, where, common = np.unique(part[at : at + count], return_inverse=True, return_counts=True)
             inside = where == common.argmax()  # the largest component; its members need each other no more
             for i in np.flatnonzero(~inside):
-                other = np.flatnonzero((part != part[i]) & (inside | (np.arange(len(node)) > i)))
-                most = (100 - percent) * (many[other] + many[i]) // (100 + percent)
-                other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= most]
-                fits = np.minimum(many[other], many[i]) * 100 >= np.maximum(many[other], many[i]) * percent
-                other = node[other[fits]]
-                held.append(np.stack([np.minimum(other, node[i]), np.maximum(other, node[i])], 1))
-                total += len(other)
+                held.append(fitting(at + np.flatnonzero(inside | (np.arange(count) > i)), np.array([at + i])))
+                total += len(held[-1])
             if total > 500_000:
                 held, total = [np.unique(np.concatenate(held), axis=0)], 0
-                if len(held[0]) > 250_000:
-                    yield {"u": held[0][:, 0], "v": held[0][:, 1]}
-                    held = []
         if held:
             pairs = np.unique(np.concatenate(held), axis=0)
             yield {"u": pairs[:, 0], "v": pairs[:, 1]}
