@@ -64,10 +64,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     index = index.join(split, "anchor", "left").filter("split or first < last")
     factors = frames.written(
         blocks.join(index, ["anchor", "content"])
-        .select("doc_id", "row", "anchor", "start", "count", (F.col("first") < F.col("doc_id")).alias("known"))
-        .join(split.select(F.col("anchor").alias("anchor_"), "split"), F.col("anchor") == F.col("anchor_"), "left")
+        .select("doc_id", "row", "anchor", "start", "count", (F.col("first") < F.col("doc_id")).alias("known"), "split")
         .filter("known or split")
-        .select("doc_id", "row", "anchor", "start", "count", "known"),
+        .drop("split"),
         "factors",
     )
     inside = factors.filter("known").select("doc_id", "row", "start", (F.col("start") + F.col("count") + F.lit(window - 1)).alias("end"))
