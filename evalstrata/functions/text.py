@@ -123,3 +123,40 @@ def difference_hash(luminance: Column, width: int, height: int) -> Column:
         for half in (bits[:4], bits[4:]):
             nibbles.append(F.lower(F.hex(half[0] * 8 + half[1] * 4 + half[2] * 2 + half[3])))
     return F.concat(*nibbles)
+
+
+# The axes along which a wording may be stressed.
+AXES = ("language", "negation", "ambiguity", "paraphrase", "examples", "order", "format", "length")
+
+
+def unique_slugs(names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
+    """id and slug of each name, later ones (by id) of an equal slug numbered from 2."""
+    from pyspark.sql import Window as W
+
+    base = names.select(F.col(id_col).alias("id"), slugify(F.col(name_col)).alias("base"))
+    n = F.row_number().over(W.partitionBy("base").orderBy("id"))
+    return base.withColumn("n", n).select("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"))
+
+
+def stress_variants(raw: DataFrame, axes: tuple[str, ...] = AXES, most: int = 8) -> DataFrame:
+    """id, axis, text and position of the usable variants in raw generator output (id, canonical, raw).
+
+    The braces of the output are read as {"variants": [{"axis", "text"}]}; entries
+    with another axis, an empty or overlong text, the canonical wording (case
+    ignored) or a repetition go; the first ``most`` are kept.
+    """
+    from pyspark.sql import Window as W
+
+    body = F.regexp_extract(F.substring_index("raw", "</think>", -1), r"(?s)\{.*\}", 0)
+    items = F.from_json(body, "variants array<struct<axis:string,text:string>>")["variants"]
+    one = raw.select("id", "canonical", F.posexplode(items).alias("at", "v")).select("id", "canonical", "at", F.lower(strip(F.col("v.axis"))).alias("axis"), strip(F.col("v.text")).alias("text"))
+    fits = F.col("axis").isin(*axes) & (F.length("text") > 0) & (F.length("text") <= 2000) & (F.lower("text") != F.lower(strip(F.col("canonical"))))
+    first = F.row_number().over(W.partitionBy("id", "axis", F.lower("text")).orderBy("at"))
+    kept = one.filter(fits).withColumn("copy", first).filter("copy = 1")
+    return kept.withColumn("position", F.row_number().over(W.partitionBy("id").orderBy("at"))).filter(F.col("position") <= most).select("id", "axis", "text", "position")
+
+
+def discovered_models(models: DataFrame, need: str = "vision", most: int = 500) -> DataFrame:
+    """Distinct names of models (name, capabilities) with a capability, case-blind order; missing capabilities exclude."""
+    some = models.filter(F.array_contains(F.coalesce("capabilities", F.array().cast("array<string>")), need)).select(strip(F.col("name")).alias("name")).filter("name != ''")
+    return some.distinct().orderBy(F.lower("name"), "name").limit(most)

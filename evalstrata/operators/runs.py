@@ -74,3 +74,16 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     each = rows.select(F.sha2(line, 256).alias("h"))
     part = each.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
     return part.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+
+
+def reviewer_queue(cases: DataFrame, labels: DataFrame, annotator: str) -> DataFrame:
+    """Each question's first case (smallest image) without a label of the annotator's own, the name's case ignored."""
+    mine = labels.filter((F.lower("annotator") == annotator.lower()) & ~F.col("is_adjudication")).select("image_id", "question_id").distinct()
+    left = cases.join(mine, ["image_id", "question_id"], "left_anti")
+    return left.groupBy("question_id").agg(F.min("image_id").alias("next_image"), F.count("*").alias("remaining"))
+
+
+def progress(runs: DataFrame, responses: DataFrame) -> DataFrame:
+    """Verdicts stored for each run (errors are none) against its total."""
+    done = responses.groupBy("run_id").agg(F.count_if(F.col("parser") != "error").alias("done"))
+    return runs.join(done, runs["id"] == done["run_id"], "left").select("id", "total", F.coalesce("done", F.lit(0)).alias("done"))

@@ -691,3 +691,27 @@ def difference_hash(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     pixels = F.slice(F.concat("embedding", "embedding", "embedding"), 1, 144)
     return e.select("vec_id", text.difference_hash(F.transform(pixels, lambda x: x.cast("double")), 18, 8).alias("phash"))
+
+
+@register("unique_slugs", "WITH b AS (SELECT p_partkey AS id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60), ''), 'evaluation') AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b) SELECT id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM n")
+def unique_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return text.unique_slugs(spark.read.parquet(f"{d}/part.parquet"), "p_partkey", "p_type")
+
+
+@register(
+    "reviewer_queue",
+    "WITH c AS (SELECT DISTINCT image_id, question_id FROM v_labels) SELECT question_id, min(image_id) AS next_image, count(*) AS remaining FROM c WHERE NOT EXISTS (SELECT 1 FROM v_labels l WHERE l.image_id = c.image_id AND l.question_id = c.question_id AND lower(annotator) = 'rev2' AND NOT is_adjudication) GROUP BY 1",
+    "v_labels",
+)
+def reviewer_queue(spark: SparkSession, d: str) -> DataFrame:
+    return runs.reviewer_queue(labels(spark, d).select("image_id", "question_id").distinct(), labels(spark, d), "Rev2")
+
+
+@register("run_progress", "SELECT r.id, r.total, coalesce(n, 0) AS done FROM v_runs r LEFT JOIN (SELECT run_id, count(*) FILTER (parser <> 'error') AS n FROM v_responses GROUP BY 1) x ON x.run_id = r.id", "v_runs", "v_responses")
+def run_progress(spark: SparkSession, d: str) -> DataFrame:
+    return runs.progress(view(spark, d, "v_runs"), responses(spark, d))
+
+
+@register("alpha_bootstrap_python")
+def alpha_bootstrap_python(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(agreement.alpha_bootstrap_python(labels(spark, d), draws=40))

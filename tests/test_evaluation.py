@@ -183,3 +183,31 @@ def test_pending_grid(spark):
     done = spark.createDataFrame([(1, 10, 0, "json"), (2, 10, 0, "error")], "image_id long, variant_id long, repetition int, parser string")
     left = runs.pending_units(runs.grid(images, variants, 1), done).collect()
     assert [(r.image_id, r.variant_id, r.repetition) for r in left] == [(2, 10, 0)]
+
+
+def test_stress_variants_and_models(spark):
+    raw = '<think>{}</think> ok {"variants":[{"axis":"Negation","text":" Not lit? "},{"axis":"negation","text":"not LIT?"},{"axis":"color","text":"x"},{"axis":"order","text":"is it lit?"},{"axis":"length","text":""},{"axis":"order","text":"Lit, is it?"}]} bye'
+    got = text.stress_variants(spark.createDataFrame([(1, "Is it lit?", raw), (2, "q", "none"), (3, "q", None)], "id long, canonical string, raw string")).collect()
+    assert [(r.id, r.axis, r.text, r.position) for r in sorted(got, key=lambda r: r.position)] == [(1, "negation", "Not lit?", 1), (1, "order", "Lit, is it?", 2)]
+    models = spark.createDataFrame([("b", ["vision"]), ("A ", ["vision", "x"]), ("c", ["x"]), ("d", None), ("b", ["vision"])], "name string, capabilities array<string>")
+    assert [r.name for r in text.discovered_models(models).collect()] == ["A", "b"]
+
+
+def test_slugs_queue_and_files(spark):
+    slugs = text.unique_slugs(spark.createDataFrame([(1, "A b"), (2, "a-B"), (3, "a b!")], "id long, name string")).collect()
+    assert {r.id: r.slug for r in slugs} == {1: "a-b", 2: "a-b-2", 3: "a-b-3"}
+    labels = spark.createDataFrame([label(1, "Ann", "yes"), label(2, "bob", "no"), label(3, "ANN", "no", ruling=True)], LABEL)
+    queue = runs.reviewer_queue(labels.select("image_id", "question_id").distinct(), labels, "ann").collect()
+    assert [(r.question_id, r.next_image, r.remaining) for r in queue] == [(1, 2, 2)]
+    manifest = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "1")], "path string, sha256 string")
+    files = spark.createDataFrame([("a", 5, "1", 3), ("b", 5, "2", 3), ("c", 5, "1", None)], "path string, length long, sha256 string, width int")
+    assert {r.path: r.state for r in audit.inspect_files(manifest, files).collect()} == {"a": "ok", "b": "changed", "c": "unreadable", "d": "missing"}
+
+
+def test_sequential_bootstrap(spark):
+    data = [label(i, w, "yes" if (i + k) % 3 else "no") for i in range(12) for k, w in enumerate("ab")]
+    df = spark.createDataFrame(data, LABEL)
+    a, b = agreement.alpha_bootstrap_python(df, 60).first(), agreement.alpha_bootstrap(df, 60).first()
+    alpha = agreement.coefficients(df).first().alpha
+    assert a.units == b.units == 12 and a.low <= alpha <= a.high and b.low <= alpha <= b.high
+    assert agreement.alpha_bootstrap_python(df.filter("image_id < 3"), 60).first().low is None
