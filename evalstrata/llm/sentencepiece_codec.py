@@ -29,6 +29,8 @@ from . import frames
 MARK = "▁"
 #: Words whose pieces a worker remembers between batches.
 CACHE_WORDS = 100_000
+#: Pairs of pieces whose compatibility a worker remembers.
+CACHE_PAIRS = 300_000
 
 
 @dataclass
@@ -158,7 +160,7 @@ def encode_sorted(words: list[str], vocabulary: Vocabulary, known: dict[tuple[st
                     fits = known.get(pair)
                     if fits is None:
                         fits = vocabulary.compatible(last, piece)
-                        if len(known) < 1_000_000:
+                        if len(known) < CACHE_PAIRS:
                             known[pair] = fits
                     if fits:
                         found = piece
