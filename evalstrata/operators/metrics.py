@@ -67,11 +67,28 @@ def scene_balanced(rows: DataFrame, *keys: str) -> DataFrame:
     return each.groupBy(*keys).agg(F.avg("a").alias("scene_balanced_accuracy"), F.count("*").alias("independent_groups"))
 
 
+SUMS = ("samples", "eligible", "parsed", "correct", "valid")
+
+
 def run_summary(rows: DataFrame) -> DataFrame:
-    """One row a run: accuracy with interval, coverage, format, fragility, drift, scene balance."""
-    units = unit_table(rows)
-    base = _with_rates(rows.groupBy("run_id").agg(*_rates()))
-    return base.join(prompt_fragility(units, "run_id"), "run_id").join(repeat_drift(units, "run_id"), "run_id").join(scene_balanced(rows, "run_id"), "run_id", "left")
+    """One row a run: accuracy with interval, coverage, format, fragility, drift, scene balance.
+
+    One scan and one chain of aggregations, each over the rows of the one before:
+    units, cases, scenes, runs.
+    """
+    votes = F.col("y") + F.col("n")
+    cases = unit_table(rows).groupBy("run_id", "question_id", "image_id").agg(
+        F.first("source_group").alias("source_group"), F.count_if(F.col("answer") == "yes").alias("vy"), F.count_if(F.col("answer") == "no").alias("vn"),
+        F.sum(pairs(votes)).alias("comparable_repeats"), F.sum(F.col("y") * F.col("n")).alias("disagreeing_repeats"),
+        F.count_if((F.col("y") == F.col("n")) & (F.col("y") > 0)).alias("tie_units"), *[F.sum(c).alias(c) for c in SUMS],
+    )
+    moved = ("comparable_repeats", "disagreeing_repeats", "tie_units", *SUMS)
+    scenes = cases.groupBy("run_id", scene().alias("scene")).agg(
+        F.sum(pairs(F.col("vy") + F.col("vn"))).alias("comparable_pairs"), F.sum(F.col("vy") * F.col("vn")).alias("disagreeing_pairs"), *[F.sum(c).alias(c) for c in moved]
+    )
+    balanced = F.avg(F.when(F.col("parsed") > 0, F.col("correct") / F.col("parsed"))).alias("scene_balanced_accuracy")
+    out = scenes.groupBy("run_id").agg(balanced, F.count_if(F.col("parsed") > 0).alias("independent_groups"), *[F.sum(c).alias(c) for c in ("comparable_pairs", "disagreeing_pairs", *moved)])
+    return _with_rates(out).withColumns({"pfs": 100 * share("disagreeing_pairs", "comparable_pairs"), "drift": 100 * share("disagreeing_repeats", "comparable_repeats")})
 
 
 def fragile_cases(units: DataFrame, limit: int = 100) -> DataFrame:
