@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared folder and reads it again as the next one's docs.
-A stage that drops documents decides by rows (id and text), so repeated rows
-stay or go together, and keeps the columns of documents; extra columns of docs
-are not passed on.
+A stage that drops documents drops all rows of an id, so repeated rows stay or go
+together, and keeps the columns of documents; extra columns of docs are not
+passed on.
 """
 
 from __future__ import annotations
@@ -26,11 +26,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with(docs: DataFrame, found: DataFrame, key: str, *values: str) -> DataFrame:
-    """The columns of ``docs`` with ``values`` of ``found`` for its id; a null id meets a null id."""
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id (null meets null) is in ``ids`` (doc_id).
+
+    The ids are written and counted: up to ``frames.BROADCAST_ROWS`` of them are
+    broadcast, so texts stay where they are; beyond, the join shuffles.
+    """
+    gone = frames.written(ids.select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    right = F.broadcast(gone) if gone.count() <= frames.BROADCAST_ROWS else gone
     left = docs.select(*COLUMNS)
-    right = found.select(F.col(key).alias("_id"), *values)
-    return left.join(right, left["doc_id"].eqNullSafe(right["_id"])).drop("_id")
+    return left.join(right, left["doc_id"].eqNullSafe(right["_id"]), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +46,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that the n-gram Jaccard join links: that with the smallest id."""
-    groups = jaccard_join.jaccard_components(docs).filter("component_id = doc_id or doc_id is null")
-    return _with(docs, groups.select("doc_id").distinct(), "doc_id")
+    return _without(docs, jaccard_join.jaccard_components(docs).filter("component_id != doc_id"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    clean = found.groupBy("doc_id").agg(F.max("contaminated").alias("hit")).filter("not hit")
-    return _with(docs, clean, "doc_id")
+    return _without(docs, found.filter("contaminated"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
