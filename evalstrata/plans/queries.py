@@ -581,7 +581,8 @@ CLUSTERS = f"""WITH RECURSIVE {near(18)}, e AS (SELECT a, b FROM np UNION ALL SE
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
     h = hashed(spark, d)
-    return audit.clusters(h.select("id"), audit.near_duplicates(h, 18))
+    links = audit.near_duplicates(h, 18).select("a", "b").union(audit.scene_links(h))
+    return audit.clusters(h.select("id"), links)
 
 
 @register("independence_clusters", f"{CLUSTERS} SELECT * FROM cl")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalstrata.functions import stats, text
 from evalstrata.operators import agreement, arena, audit, diagnostics, metrics, performance, runs
+from evalstrata.plans import queries
 from evalstrata.plans.units import unit_table
 
 ROW = "run_id long, image_id long, question_id long, variant_id long, canonical boolean, mutation_type string, answer string, ground_truth string, format_valid boolean, parser string, latency_ms double, source_group string, gt_agreement string, gt_labels int, input_preprocess string, repetition int"
@@ -144,6 +145,15 @@ def test_near_duplicates_clusters_and_split(spark):
     assert {r.node for r in audit.split_hash(clustered).collect()} == {1, 2, 3, 4, 5}
 
 
+def test_units_join_scenes_and_near_pairs(spark, monkeypatch):
+    far = [(1, 0, 0, 0), (2, 0, 0xFFFFFFFF, 0xFFFFFFFF), (3, 1, 0xFFFFFFFF, 0xFFFFFFFE), (4, 1, 0x0F0F0F0F, 0x0F0F0F0F), (5, 2, 0x33333333, 0x0F0FF0F0), (6, None, 0x55555555, 0x33333333), (7, None, 0x3C3C3C3C, 0x55555555)]
+    hashes = spark.createDataFrame(far, "id long, scene int, high long, low long")
+    monkeypatch.setattr(queries, "hashed", lambda spark, d: hashes)
+    assert {(r.node, r.cluster) for r in queries.independence_clusters(spark, "").collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6), (7, 7)}
+    for split in (queries.split_hash, queries.split_python):
+        assert len({r.side for r in split(spark, "").collect() if r.node < 5}) == 1
+
+
 VERDICTS = [
     ('{"answer":"yes"}', "yes", True, "json"), ('{"answer":"yes","reason":"extra"}', "yes", False, "json"), ('{"answer":"si"}', "yes", True, "json"), ("<think>long</think> La risposta è sì.", "yes", False, "word"),
     ("<think>maybe yes", "invalid", False, "truncated"), ("Non si vede alcuna luce accesa.", "invalid", False, "none"), ("There is no doubt that the answer is yes.", "invalid", False, "ambiguous"), ("sì", "yes", True, "word"),
