@@ -28,8 +28,10 @@ from .text import mix, word_hashes
 
 #: Discount in standard deviations of the shared count, and what is added to each count.
 Z, ADDED = 5.0, 5.0
-#: Expressions with class evidence that a model keeps, the most significant first (6 MB).
+#: Expressions with class evidence that are broadcast, the commonest first (4 MB); texts are joined with the others.
 EXPRESSIONS = 1 << 18
+#: Bits that tell which expressions may be among the others (8 MB); they steer cost, never results.
+SLOTS = 1 << 26
 #: Labelled rows, at most, on which the curve is fitted.
 CURVE_ROWS = 20_000
 #: Expressions counted together in one task.
@@ -73,36 +75,61 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     return grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def evidence(counts: DataFrame, z: float = Z, added: float = ADDED, limit: int = EXPRESSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """The expressions that keep class evidence, sorted, and the log of their likelihood ratio."""
+def evidence(counts: DataFrame, z: float = Z, added: float = ADDED) -> DataFrame:
+    """gram, n and ratio of every expression that keeps class evidence: its shared count and the log of its likelihood ratio."""
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
     t, o = float(total["t"] or 0), float(total["o"] or 0)
     if not t or not o:
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return counts.select("gram", F.col("toxic").alias("n"), F.lit(0.0).alias("ratio")).filter("false")
+    n = F.col("toxic") + F.col("ordinary")
     ratios = []
-    for name, n in (("toxic", t), ("ordinary", o)):
-        expected = (F.col("toxic") + F.col("ordinary")) * F.lit(n / (t + o))
+    for name, size in (("toxic", t), ("ordinary", o)):
+        expected = n * F.lit(size / (t + o))
         apart = F.col(name) - expected
         left = F.signum(apart) * F.greatest(F.abs(apart) - F.lit(z) * F.sqrt(expected + 1.0), F.lit(0.0))
         ratios.append(F.log((expected + left + added) / (expected + added)))
-    kept = counts.select("gram", (ratios[0] - ratios[1]).alias("ratio")).filter("ratio != 0").orderBy(F.desc(F.abs("ratio")), "gram").limit(limit).toPandas()
-    gram, ratio = kept["gram"].to_numpy(np.int64).view(np.uint64), kept["ratio"].to_numpy(float)
-    order = np.argsort(gram)
-    return gram[order], ratio[order]
+    return counts.select("gram", n.alias("n"), (ratios[0] - ratios[1]).alias("ratio")).filter("ratio != 0")
 
 
-def difference(text: bytes, gram: np.ndarray, ratio: np.ndarray) -> tuple[float, int]:
-    """Toxic less ordinary log-likelihood of a text, and its words."""
+def split_evidence(kept: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame | None, np.ndarray | None]:
+    """The EXPRESSIONS commonest of ``kept`` as sorted grams and ratios, the others as a table (None: no others), and their slots in a table of SLOTS bits."""
+    top = kept.orderBy(F.desc("n"), "gram").limit(EXPRESSIONS).toPandas()
+    gram, ratio = top["gram"].to_numpy(np.int64).view(np.uint64), top["ratio"].to_numpy(float)
+    order = np.argsort(gram)
+    if kept.count() <= EXPRESSIONS:
+        return gram[order], ratio[order], None, None
+    last = top.iloc[-1]
+    n, at = int(last["n"]), int(last["gram"])
+    rest = kept.filter((F.col("n") < n) | ((F.col("n") == n) & (F.col("gram") > at)))
+    slot = F.col("gram").bitwiseAND(F.lit(SLOTS - 1))
+    bits = rest.select(F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1L, cast((gram & {SLOTS - 1}L) % 32 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    slots = np.zeros(SLOTS // 32, np.uint32)
+    slots[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    return gram[order], ratio[order], rest, slots
+
+
+def difference(text: bytes, gram: np.ndarray, ratio: np.ndarray, slots: np.ndarray | None = None) -> tuple:
+    """Toxic less ordinary log-likelihood of a text, its words, and what ``slots`` leaves open: pairs, their words, how often, and the ratio if neither is found."""
     words, pairs = expressions(text)
-    if not len(gram) or not len(words):
-        return 0.0, len(words)
 
     def found(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(gram):
+            return np.zeros(len(x), bool), np.zeros(len(x))
         at = np.minimum(np.searchsorted(gram, x), len(gram) - 1)
         return gram[at] == x, ratio[at]
 
+    def may(x: np.ndarray) -> np.ndarray:
+        at = x & np.uint64(SLOTS - 1)
+        return (slots[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & 1 == 1
+
     by_pair, by_word = found(pairs), found(words)
-    return float(np.where(by_pair[0], by_pair[1], np.where(by_word[0], by_word[1], 0.0)).sum()), len(words)
+    other = np.where(by_word[0], by_word[1], 0.0)
+    value = np.where(by_pair[0], by_pair[1], other)
+    if slots is None:
+        return float(value.sum()), len(words)
+    still = ~by_pair[0] & (may(pairs) | (~by_word[0] & may(words)))
+    pair, first, times = np.unique(pairs[still], return_index=True, return_counts=True)
+    return float(value[~still].sum()), len(words), pair, words[still][first], times, other[still][first]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -146,20 +173,40 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = frames.documents(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("toxic")).filter("toxic is not null and doc_id is not null")
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("fold", fold)
-    gram, ratio = evidence(frames.written(class_counts(frames.with_texts(rows, known.filter((F.col("fold") > 0) & (F.col("fold") < folds - 1)).drop("fold"))), "grams"), z, added)
-    held = docs.sparkSession.sparkContext.broadcast((gram, ratio))
+    counts = frames.written(class_counts(frames.with_texts(rows, known.filter((F.col("fold") > 0) & (F.col("fold") < folds - 1)).drop("fold"))), "grams")
+    gram, ratio, rest, slots = split_evidence(frames.written(evidence(counts, z, added), "evidence"))
+    held = docs.sparkSession.sparkContext.broadcast((gram, ratio, slots))
 
     def measure(batch: pa.RecordBatch) -> dict:
         got = [difference(x, *held.value) for x in frames.blobs(batch["data"])]
         out = {"log_ratio": np.array([x[0] for x in got]), "n_words": np.array([x[1] for x in got], np.int64)}
+        if held.value[2] is not None:
+            ends = pa.array(np.cumsum([0, *(len(x[2]) for x in got)]), pa.int32())
+            for i, (name, kind) in enumerate((("pair", np.int64), ("word", np.int64), ("times", np.int64), ("other", float)), 2):
+                flat = np.concatenate([x[i] for x in got])
+                out[name] = pa.ListArray.from_arrays(ends, pa.array(flat.view(kind) if flat.dtype == np.uint64 else flat.astype(kind)))
         return {c: batch[c] for c in batch.schema.names if c != "data"} | out
 
+    def measured(some: DataFrame, schema: str) -> DataFrame:
+        """log_ratio and n_words beside the columns of ``some`` (``schema``): expressions that were not broadcast are joined."""
+        if rest is None:
+            return frames.columns(some, f"{schema}, log_ratio double, n_words long", measure)
+        lists = "pair array<long>, word array<long>, times array<long>, other array<double>"
+        part = frames.columns(some.withColumn("uid", F.monotonically_increasing_id()), f"{schema}, uid long, log_ratio double, n_words long, {lists}", measure)
+        part = frames.written(part, "measured")
+        still = part.select("uid", F.explode(F.arrays_zip("pair", "word", "times", "other")).alias("x")).select("uid", "x.*")
+        still = still.join(rest.select(F.col("gram").alias("pair"), F.col("ratio").alias("by_pair")), "pair", "left")
+        still = still.join(rest.select(F.col("gram").alias("word"), F.col("ratio").alias("by_word")), "word", "left")
+        more = still.groupBy("uid").agg(F.sum(F.col("times") * F.coalesce("by_pair", "by_word", "other")).alias("more"))
+        out = part.drop("pair", "word", "times", "other").join(more, "uid", "left")
+        return out.withColumn("log_ratio", F.col("log_ratio") + F.coalesce("more", F.lit(0.0))).drop("uid", "more")
+
     curve_labels = known.filter(F.col("fold") == folds - 1).orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS).select("doc_id", "toxic")
-    sample = frames.columns(frames.with_texts(rows, curve_labels).select("doc_id", "toxic", "data"), "doc_id long, toxic int, log_ratio double, n_words long", measure).toPandas().sort_values("doc_id")
+    sample = measured(frames.with_texts(rows, curve_labels).select("doc_id", "toxic", "data"), "doc_id long, toxic int").toPandas().sort_values("doc_id")
     n = np.maximum(sample["n_words"].to_numpy(float), 1.0)
     d = sample["log_ratio"].to_numpy(float)
     per_word, per_root, constant = (float(x) for x in fit_curve(np.c_[d / n, d / np.sqrt(n)], sample["toxic"].to_numpy(float)))
-    scored = frames.columns(rows.select("doc_id", "data"), "doc_id long, log_ratio double, n_words long", measure)
+    scored = measured(rows.select("doc_id", "data"), "doc_id long")
     length = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     line = F.col("log_ratio") / length * per_word + F.col("log_ratio") / F.sqrt(length) * per_root + constant
     scored = scored.withColumn("score", 1.0 / (1.0 + F.exp(-line))).withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))

@@ -172,6 +172,21 @@ def test_toxicity_learns_from_training_folds_only(spark):
     assert cases.ordered((r.doc_id, round(r.score, 9)) for r in got) == cases.ordered((r.doc_id, round(r.score, 9)) for r in again)
 
 
+def test_toxicity_keeps_all_evidence(spark, monkeypatch):
+    many = (1 << 18) + 500
+    counts = spark.range(many).selectExpr("id as gram", "if(id % 2 = 0, 1000L, 0L) as toxic", "if(id % 2 = 0, 0L, 1000L) as ordinary")
+    assert toxicity.evidence(counts).count() == many
+    docs, labels = labelled(400, "idiot")
+    docs = [*docs, (5000, None), (None, "idiot you idiot"), docs[0]]
+    score = lambda: toxicity.score_toxicity(cases.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    want = score()
+    for broadcast in (1, 3):
+        monkeypatch.setattr(toxicity, "EXPRESSIONS", broadcast)
+        got = score()
+        assert len({r.log_ratio for r in got}) > 1
+        assert cases.ordered((r.doc_id, round(r.score, 8), round(r.log_ratio, 8), r.n_words) for r in got) == cases.ordered((r.doc_id, round(r.score, 8), round(r.log_ratio, 8), r.n_words) for r in want)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score_toxicity(cases.frame(spark, cases.documents()), none).collect()
