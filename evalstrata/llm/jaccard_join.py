@@ -114,7 +114,7 @@ def sketch_of(members: np.ndarray) -> bytes:
 
 
 def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), a, b (128 bits naming the set), sketch and signatures; a task signs each set once."""
+    """doc_id, n (set size), a, b (128 bits naming the set), sketch and signatures; a task signs each set once, at its first row with an id."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,14 +122,14 @@ def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             n, a, b, sketches, signs = [], [], [], [], []
-            for text in frames.blobs(batch["data"]):
+            for known, text in zip(batch["doc_id"].is_valid().to_pylist(), frames.blobs(batch["data"]), strict=True):
                 members = shingles_of(text, size)
                 name = xxhash.xxh3_128_intdigest(members.tobytes())
                 n.append(len(members))
                 a.append((name >> 64) - (1 << 63))
                 b.append((name & ((1 << 64) - 1)) - (1 << 63))
                 sketches.append(sketch_of(members))
-                if name in seen or not len(members):
+                if name in seen or not len(members) or not known:
                     signs.append(np.zeros(0, np.uint64))
                     continue
                 if len(seen) < SEEN:
@@ -167,7 +167,7 @@ def _grouped(df: DataFrame, key: str, schema: str, step) -> DataFrame:
 def _shared(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
     """Rows whose signature another row has."""
     keep = np.repeat(size > 1, size)
-    yield {"sign": cols["sign"][keep], "doc_id": cols["doc_id"][keep]}
+    yield {c: cols[c][keep] for c in ("sign", "a")}
 
 
 def _stars(percent: int):
@@ -189,7 +189,7 @@ def _open(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
     """Rows of groups that hold several components."""
     lowest, highest = (f.reduceat(cols["component"], edge) for f in (np.minimum, np.maximum))
     keep = np.repeat(lowest != highest, size)
-    yield {c: cols[c][keep] for c in ("sign", "node", "component", "n")}
+    yield {c: cols[c][keep] for c in ("sign", "node", "component", "a")}
 
 
 #: Groups up to this size are paired offset by offset over whole partitions, larger ones row by row.
@@ -197,7 +197,7 @@ PAIRED = 32
 
 
 def _across(percent: int):
-    """Pairs of a group in different components that sizes and sketches allow to link; a node is in a group once."""
+    """Pairs of a group in different components that sizes and sketches allow to link; a set is in a group once."""
 
     def step(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
         node, part, many = (cols[c] for c in ("node", "component", "n"))
@@ -265,22 +265,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = frames.documents(docs, id_col, text_col)
     sets = frames.written(signed_sets(rows, size, percent), "sets")
     some = sets.filter("n > 0 and doc_id is not null")
-    shared = frames.written(_grouped(some.select("doc_id", F.explode("signatures").alias("sign")), "sign", "sign long, doc_id long", _shared), "shared")
-    heads = some.groupBy("a", "b").agg(F.min("doc_id").alias("head"))
-    nodes = some.select("doc_id", "n", "a", "b", "sketch").join(heads, ["a", "b"]).groupBy("doc_id").agg(F.min_by(F.struct(F.col("head").alias("node"), "n", "sketch"), "head").alias("x"))
-    degree = shared.groupBy("doc_id").agg(F.count("*").alias("degree"))
-    nodes = frames.written(nodes.join(degree, "doc_id", "left").select("doc_id", "x.*", F.coalesce("degree", F.lit(0)).alias("degree")), "nodes")
+    # Half of a set's name is enough here: sets that share it share signatures too, and pairs are checked exactly.
+    shared = frames.written(_grouped(some.select("a", F.explode("signatures").alias("sign")), "sign", "sign long, a long", _shared), "shared")
+    degree = shared.groupBy("a").agg(F.count("*").alias("degree"))
+    # A set's node is the smallest id that has it; an id with several texts may be the node of several sets.
+    nodes = some.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
+    nodes = frames.written(nodes.join(degree, "a", "left").select("a", "b", "node", "n", F.coalesce("degree", F.lit(0)).alias("degree")), "nodes")
     texts = frames.packed(rows)
-    stars = shared.join(nodes.drop("sketch"), "doc_id").select("sign", "node", "n", "degree")
+    stars = shared.join(nodes, "a").select("sign", "node", "n", "degree")
     pairs = frames.written(_grouped(stars, "sign", "u long, v long", _stars(percent)).distinct(), "pairs")
     links = frames.written(_verified(pairs, texts, size, percent), "linked")
     found = components(links).withColumnRenamed("node", "known")
-    parts = nodes.join(found, nodes["node"] == found["known"], "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("component"))
-    still = frames.written(_grouped(shared.join(parts, "doc_id").select("sign", "node", "component", "n"), "sign", "sign long, node long, component long, n long", _open).distinct(), "open")
-    sketches = nodes.filter("node = doc_id").select("node", "sketch")
-    rest = _grouped(still.join(sketches, "node"), "sign", "u long, v long", _across(percent)).distinct().join(pairs, ["u", "v"], "left_anti")
+    parts = nodes.join(found, nodes["node"] == found["known"], "left").select("a", "node", F.coalesce("component", "node").alias("component"))
+    still = frames.written(_grouped(shared.join(parts, "a").select("sign", "node", "component", "a"), "sign", "sign long, node long, component long, a long", _open).distinct(), "open")
+    held = still.select("a", F.col("node").alias("doc_id")).distinct()
+    sketches = some.select("a", "b", "doc_id", "n", "sketch").join(held, ["a", "doc_id"]).dropDuplicates(["a", "b"]).select("a", F.col("doc_id").alias("node"), "n", "sketch")
+    rest = _grouped(still.join(sketches, ["a", "node"]).select("sign", "node", "component", "n", "sketch"), "sign", "u long, v long", _across(percent)).distinct().join(pairs, ["u", "v"], "left_anti")
     more = frames.written(_verified(frames.written(rest, "rest"), texts, size, percent), "linked")
-    same = nodes.filter("node != doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    same = some.select("doc_id", "a", "b").join(nodes.select("a", "b", "node"), ["a", "b"]).filter("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     final = components(links.unionByName(more).unionByName(same))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -76,6 +76,25 @@ def test_jaccard_components_of_a_large_loose_family(spark):
     assert cases.ordered((r.doc_id, r.n_shingles, r.component_id) for r in got) == cases.ordered(cases.linked(rows))
 
 
+def test_jaccard_components_of_null_ids_and_ids_with_two_texts(spark):
+    """A text without an id comes first in its task, its copies with ids later; an id's second set links where its first does not."""
+    rng = random.Random(9)
+
+    def edited(text: str, n: int) -> str:
+        w = text.split()
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    rows = []
+    for k in range(12):
+        base, other = cases.prose(rng, 120), cases.prose(rng, 40)
+        rows += [(None, base), (100 * k + 50, base), (100 * k + 51, edited(base, 2)), (100 * k + 10, other), (100 * k + 10, base + " end")]
+        rows += [(100 * k + 5, other), (100 * k + 60, edited(base, 4)), (100 * k + 61, edited(base, 4)), (100 * k + 62, edited(base, 5))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert cases.ordered((r.doc_id, r.n_shingles, r.component_id) for r in got) == cases.ordered(cases.linked(rows))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 10**6), st.sampled_from([60, 75, 90]))
 def test_similar_sets_share_a_signature_and_sketches_bound_the_difference(size, seed, percent):
