@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared folder and reads it again as the next one's docs.
-A stage that drops documents drops all rows of an id, so repeated rows stay or go
-together, and keeps the columns of documents; extra columns of docs are not
-passed on.
+The near-duplicate stage drops all rows of an id, the benchmark stage only those
+rows whose text is contaminated; equal rows stay or go together.  Stages that drop
+documents keep the columns of documents; extra columns of docs are not passed on.
 """
 
 from __future__ import annotations
@@ -26,16 +26,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id (null meets null) is in ``ids`` (doc_id).
+def _without(docs: DataFrame, ids: DataFrame, by_row: bool = False) -> DataFrame:
+    """``docs`` without the rows whose id (null meets null) is in ``ids`` (doc_id), or whose id and text are (doc_id, row).
 
     The ids are written and counted: up to ``frames.BROADCAST_ROWS`` of them are
     broadcast, so texts stay where they are; beyond, the join shuffles.
     """
-    gone = frames.written(ids.select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    keys = [F.col("doc_id").alias("_id")] + ([F.col("row").alias("_row")] if by_row else [])
+    gone = frames.written(ids.select(*keys).distinct(), "gone")
     right = F.broadcast(gone) if gone.count() <= frames.BROADCAST_ROWS else gone
     left = docs.select(*COLUMNS)
-    return left.join(right, left["doc_id"].eqNullSafe(right["_id"]), "left_anti")
+    same = left["doc_id"].eqNullSafe(right["_id"])
+    if by_row:
+        same = same & (decontaminate.row_key(left["text"]) == right["_row"])
+    return left.join(right, same, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated"))
+    return _without(docs, found.filter("contaminated"), by_row=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ at most ``BROADCAST_WINDOWS`` rows; beyond that the same join shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import frames
@@ -40,6 +40,11 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
     return cut.select("item_id", F.expr(f"slice(ws, at, {window})").alias("words")).groupBy("words").agg(F.collect_set("item_id").alias("items"))
 
 
+def row_key(text: Column) -> Column:
+    """64 bits naming a text, which tell rows of one id, or of none, apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
 
@@ -56,7 +61,7 @@ def _token_filter(tokens: DataFrame, n: int) -> tuple[str, int]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted as strings) and contaminated for each row of ``docs``.
+    """doc_id, n_words, n_hit, item_ids (sorted as strings), contaminated and row (``row_key`` of the text) for each row of ``docs``.
 
     Words are lower-cased (A-Z) and split at ASCII characters other than digits
     and letters.  Null or wordless texts have no words, windows or hits; an
@@ -65,7 +70,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     windows = item_windows(benchmark.filter(F.col(item_id_col).isNotNull()), item_id_col, item_text_col, window)
     windows = frames.written(windows.select(F.xxhash64("words").alias("window"), "words", "items"), "windows")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(text_col)).alias("row"))
     vocabulary = windows.select(F.explode("words").alias("w")).distinct()
     n_vocabulary, n_windows = vocabulary.count(), windows.count()
     said = texts.select(F.explode(F.expr(_WORDS.format("text"))).alias("w")).select(F.expr(_FOLD).alias("w"))
@@ -77,21 +82,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     rows = texts.withColumn("uid", F.monotonically_increasing_id()).withColumn("ws", F.expr(f"transform({_WORDS.format('text')}, w -> {_FOLD})"))
     member = f"substring(X'{table}', cast(pmod(xxhash64(x), {slots}) as int) + 1, 1) = X'01'"
-    rows = rows.select("uid", "doc_id", "ws", F.expr(f"filter(transform(ws, (x, i) -> if({member}, i, null)), i -> i is not null)").alias("places"))
+    rows = rows.select("uid", "doc_id", "row", "ws", F.expr(f"filter(transform(ws, (x, i) -> if({member}, i, null)), i -> i is not null)").alias("places"))
     around = f"transform(places, i -> struct(i as i, get(ws, i) as token, greatest(i - {window - 1}, 0) as base, slice(ws, greatest(i - {window - 1}, 0) + 1, i - greatest(i - {window - 1}, 0) + {window}) as near))"
-    rows = rows.select("uid", "doc_id", F.expr("cast(size(ws) as long)").alias("n_words"), F.explode_outer(F.expr(around)).alias("p"))
-    rows = rows.select("uid", "doc_id", "n_words", F.col("p.i").alias("i"), F.col("p.token").alias("token"), F.col("p.base").alias("base"), F.col("p.near").alias("near"))
+    rows = rows.select("uid", "doc_id", "row", F.expr("cast(size(ws) as long)").alias("n_words"), F.explode_outer(F.expr(around)).alias("p"))
+    rows = rows.select("uid", "doc_id", "row", "n_words", F.col("p.i").alias("i"), F.col("p.token").alias("token"), F.col("p.base").alias("base"), F.col("p.near").alias("near"))
     right = _small(prefix.select(F.col("token").alias("t"), "at", "words", "window"), n_windows)
     bounds = F.expr("i - at >= 0 and i - at + size(words) <= n_words")
     same = F.expr("slice(near, greatest(i - at - base, 0) + 1, size(words)) = words")
     joined = rows.join(right, (F.col("token") == F.col("t")) & bounds & same, "left")
-    hit = joined.groupBy("uid", "doc_id", "n_words").agg(
+    hit = joined.groupBy("uid", "doc_id", "row", "n_words").agg(
         F.collect_set(F.expr("if(window is not null, struct(i - at as s, i - at + size(words) as e), null)")).alias("spans"),
         F.collect_set("window").alias("found"),
     )
     covered = "aggregate(array_sort(spans), struct(0 as e, 0L as n), (a, s) -> struct(greatest(a.e, s.e) as e, a.n + greatest(s.e - greatest(a.e, s.s), 0) as n), a -> a.n)"
-    hit = frames.written(hit.select("uid", "doc_id", "n_words", F.expr(covered).alias("n_hit"), "found"), "hits")
+    hit = frames.written(hit.select("uid", "doc_id", "row", "n_words", F.expr(covered).alias("n_hit"), "found"), "hits")
     items = hit.select("uid", F.explode("found").alias("window")).join(_small(windows.select("window", "items"), n_windows), "window")
     items = items.select("uid", F.explode("items").alias("item")).groupBy("uid").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("item_ids"))
     out = hit.drop("found").join(items, "uid", "left")
-    return out.select("doc_id", "n_words", "n_hit", F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"), "row")
