@@ -370,6 +370,10 @@ def fleiss_kappa_panel3(spark: SparkSession, d: str) -> DataFrame:
     return rounded(agreement.coefficients(agreement.fixed_panel(labels(spark, d), 3)))
 
 
+#: Draws of the interval of alpha over all questions.
+DRAWS = 800
+
+
 LABEL_PAIRS = "lp AS (SELECT x.annotator AS a, y.annotator AS b, x.value AS av, y.value AS bv FROM v_labels x JOIN v_labels y USING (image_id, question_id) WHERE x.annotator < y.annotator AND NOT x.is_adjudication AND NOT y.is_adjudication)"
 
 
@@ -409,7 +413,7 @@ SELECT (SELECT count(*) FROM cu) AS units, count(alpha) AS defined, round(quanti
     "v_labels",
 )
 def alpha_bootstrap_hash(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(agreement.alpha_bootstrap(labels(spark, d), draws=40))
+    return rounded(agreement.alpha_bootstrap(labels(spark, d), draws=DRAWS))
 
 
 @register("agreement_warnings")
@@ -715,4 +719,4 @@ def run_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @register("alpha_bootstrap_python")
 def alpha_bootstrap_python(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(agreement.alpha_bootstrap_python(labels(spark, d), draws=40))
+    return rounded(agreement.alpha_bootstrap_python(labels(spark, d), draws=DRAWS))

@@ -221,3 +221,10 @@ def test_sequential_bootstrap(spark):
     alpha = agreement.coefficients(df).first().alpha
     assert a.units == b.units == 12 and a.low <= alpha <= a.high and b.low <= alpha <= b.high
     assert agreement.alpha_bootstrap_python(df.filter("image_id < 3"), 60).first().low is None
+
+
+def test_registered_bootstraps_take_800_draws(spark, monkeypatch):
+    data = [label(i, w, "yes" if (i + k) % 3 else "no") for i in range(12) for k, w in enumerate("ab")]
+    monkeypatch.setattr(queries, "labels", lambda spark, d: spark.createDataFrame(data, LABEL))
+    for query in (queries.alpha_bootstrap_hash, queries.alpha_bootstrap_python):
+        assert 700 < query(spark, "").first().defined <= 800
