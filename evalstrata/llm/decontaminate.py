@@ -66,9 +66,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are lower-cased (A-Z) and split at ASCII characters other than digits
     and letters.  Null or wordless texts have no words, windows or hits; an
     empty benchmark hits nothing; repeated rows and ids are judged row by row;
-    items with equal windows all count; other columns are ignored.
+    items with equal windows all count; an item without an id counts in n_hit and
+    is left out of item_ids; other columns are ignored.
     """
-    windows = item_windows(benchmark.filter(F.col(item_id_col).isNotNull()), item_id_col, item_text_col, window)
+    windows = item_windows(benchmark, item_id_col, item_text_col, window)
     windows = frames.written(windows.select(F.xxhash64("words").alias("window"), "words", "items"), "windows")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(text_col)).alias("row"))
     vocabulary = windows.select(F.explode("words").alias("w")).distinct()

@@ -61,6 +61,13 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontaminate(cases.frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+def test_decontamination_by_an_item_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "see the needle here"), (2, "clean"), (3, "pin")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "the needle"), (None, "pin"), (4, "pin")], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, items).collect()
+    assert sorted((r.doc_id, r.n_hit, list(r.item_ids), r.contaminated) for r in got) == [(1, 2, [], True), (2, 0, [], False), (3, 1, ["4"], True)]
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     rows, items = cases.documents(), [(1, cases.documents()[12][1]), (2, "one")]
     want = decontaminate.decontaminate(cases.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
