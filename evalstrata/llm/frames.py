@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,11 +19,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests on one machine, a folder of our own is
-    made and set for the session.
+    Where that is unset and everything runs on this machine, as in tests, a
+    folder of our own is made and set for the session; on a cluster it raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="evalstrata-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -49,6 +53,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hand_back() -> None:
+    """Gives memory that this worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df`` mapped partition by partition; the worker's memory goes back when a partition is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            hand_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def columns(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``df`` mapped batch by batch: ``step`` gives the columns of ``schema``."""
 
@@ -57,7 +82,7 @@ def columns(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dict])
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(step(batch))
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def blobs(column: pa.Array) -> list[bytes]:
@@ -67,7 +92,7 @@ def blobs(column: pa.Array) -> list[bytes]:
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row (a hash of the text, telling rows of one id apart) and the UTF-8 text as data.
 
-    Other columns of ``docs`` are left behind, so their names can't clash.
+    Ids are whole numbers, read as 64 bits; other kinds are refused by the cast.  Other columns of ``docs`` are left behind, so their names can't clash.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("row"), text.cast("binary").alias("data"))

@@ -119,7 +119,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), sentencepiece_codec.load(MODEL_FILE)).drop("row")
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), sentencepiece_codec.load(MODEL_FILE), check=True).drop("row")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
