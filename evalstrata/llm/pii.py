@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds the anchors of a text in one pass: at-signs,
-schemes, plus signs and identifier cues ("account", "IBAN", ...); runs of digits
-are the anchors of numbers.  A deterministic parser expands each anchor to both
+schemes, plus signs, identifier cues ("account", "IBAN", ...) and credential cues
+("password", "token", ...); runs of digits are the anchors of numbers.  A deterministic parser expands each anchor to both
 sides and validates what it got (labels of a domain, octets, Luhn, mod 97).
 Every parser reads a stretch once, so a text costs time in proportion to its
 length however hostile it is.  Offsets are code points, ends exclusive.
@@ -11,6 +11,7 @@ length however hostile it is.  Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import ahocorasick
 import pyarrow as pa
@@ -20,15 +21,20 @@ from pyspark.sql import functions as F
 from . import frames
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "account", "userinfo")
+KINDS = (*BASE_KINDS, "iban", "account", "userinfo", "credential")
 CUES = ("account", "acct", "a/c", "iban", "konto", "kontonummer", "compte", "cuenta", "customer id", "passport", "ssn")
+CREDENTIAL_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key")
+#: Fixed value: how the public form of an access key id begins; 16 capitals and digits follow.
+KEY_ID = "AKIA"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?:[^\S\n]|[:#.=]|no|nr|number|is){0,12}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){0,40})", re.IGNORECASE)
-_AUTHORITY = re.compile(r"[^\s/?#]{1,2048}")
+_AUTHORITY = re.compile(r"[^\s/?#]+")
+_CREDENTIAL = re.compile(r"[^\S\n]?[=:][^\S\n]?[\"']?([^\s\"']{8,})")
+_KEY_ID = re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])")
 
 Span = tuple[str, int, int]
 
@@ -40,6 +46,10 @@ def automaton() -> ahocorasick.Automaton:
     for cue in CUES:
         for form in {cue, cue.capitalize(), cue.upper()}:
             found.add_word(form, ("cue", len(form)))
+    for cue in CREDENTIAL_CUES:
+        for form in {cue, cue.capitalize(), cue.upper()}:
+            found.add_word(form, ("credential", len(form)))
+    found.add_word(KEY_ID, (KEY_ID, len(KEY_ID)))
     found.make_automaton()
     return found
 
@@ -56,6 +66,12 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def octet(digits: str) -> bool:
+    """At most 255, with any number of leading zeros."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def _email(text: str, at: int, floor: int) -> Span | None:
     start = at
     while start > floor and text[start - 1] in _LOCAL:
@@ -71,8 +87,7 @@ def _numbers(text: str) -> list[Span]:
 
     def card() -> None:
         if joined:
-            digits = "".join(text[a:b] for a, b in joined)
-            if 16 <= len(digits) <= 19 and luhn(digits):
+            if 16 <= sum(b - a for a, b in joined) <= 19 and luhn("".join(text[a:b] for a, b in joined)):
                 out.append(("card", joined[0][0], joined[-1][1]))
 
     for m in _DIGITS.finditer(text):
@@ -81,7 +96,7 @@ def _numbers(text: str) -> list[Span]:
             dotted = []
         dotted.append((a, b))
         if len(dotted) == 4:
-            if all(y - x <= 400 and int(text[x:y]) <= 255 for x, y in dotted):
+            if all(octet(text[x:y]) for x, y in dotted):
                 out.append(("ip", dotted[0][0], b))
             dotted = []
         if joined and not (a == joined[-1][1] + 1 and text[a - 1] in " -"):
@@ -118,7 +133,7 @@ def _identifier(text: str, end: int) -> Span | None:
 
 def find(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
     """All spans of a text, by kind as in KINDS, then by start; those beyond the base kinds never overlap one."""
-    base, more, floor = [], [], 0
+    base, more, floor, read = [], [], 0, 0
     for last, (kind, length) in anchors.iter(text):
         if kind == "@":
             span = _email(text, last, floor)
@@ -134,16 +149,37 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
             user = match[0].rpartition("@")[0] if match else ""
             if ":" in user:
                 more.append(("userinfo", last + 1, last + 1 + len(user)))
-        elif last + 1 - length == 0 or not text[last - length].isalnum():
+        elif last + 1 - length > 0 and text[last - length].isalnum():
+            continue
+        elif kind == "credential":
+            match = _CREDENTIAL.match(text, last + 1) if last >= read else None  # a cue inside an earlier value is none
+            if match:
+                read = match.end()
+                value = match[1].rstrip(".,;:)]}>")
+                if len(value) >= 8:
+                    more.append(("credential", match.start(1), match.start(1) + len(value)))
+        elif kind == KEY_ID:
+            match = _KEY_ID.match(text, last + 1)
+            if match:
+                more.append(("credential", last + 1 - length, match.end()))
+        else:
             span = _identifier(text, last + 1)
             if span:
                 more.append(span)
     base += _numbers(text)
-    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [], []  # the stretches that base spans take, apart from each other, in order
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    floor = 0
     for span in sorted(set(more), key=lambda s: (s[1], -s[2])):
-        if not any(a < span[2] and span[1] < b for a, b in taken):
+        before = bisect_left(starts, span[2]) - 1
+        if span[1] >= floor and (before < 0 or ends[before] <= span[1]):
             base.append(span)
-            taken.append(span[1:])
+            floor = span[2]
     return sorted(base, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -162,10 +198,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = True) -> DataFrame:
-    """doc_id, row, a count of each base kind, base and spans (kind:start:end, comma-joined) and redacted (the text without them).
+    """doc_id, row, a count of each base kind, n_spans (of all kinds), base and spans (kind:start:end, comma-joined) and redacted (the text without them).
 
     A null text is an empty one, without spans; repeated rows are searched each;
-    other columns are ignored.  Without ``redacted`` that column is null.
+    other columns are ignored; an empty table gives no rows.  Without
+    ``redacted`` that column is null.
     """
 
     def step(batch: pa.RecordBatch) -> dict:
@@ -175,17 +212,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         out = {c: batch[c] for c in ("doc_id", "row")}
         for kind in BASE_KINDS:
             out[f"n_{kind}"] = pa.array([sum(s[0] == kind for s in spans) for spans in found], pa.int64())
+        out["n_spans"] = pa.array(map(len, found), pa.int64())
         out["base"] = [_joined([s for s in spans if s[0] in BASE_KINDS]) for spans in found]
         out["spans"] = [_joined(spans) for spans in found]
         out["redacted"] = pa.array([redact(t, s) for t, s in zip(texts, found, strict=True)] if redacted else [None] * len(texts), pa.string())
         return out
 
-    schema = "doc_id long, row int, " + "".join(f"n_{k} long, " for k in BASE_KINDS) + "base string, spans string, redacted string"
+    schema = "doc_id long, row int, " + "".join(f"n_{k} long, " for k in BASE_KINDS) + "n_spans long, base string, spans string, redacted string"
     return frames.columns(frames.documents(docs, id_col, text_col), schema, step)
 
 
 def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced by its kind in brackets; a null text stays null."""
+    """``docs`` with personal data in ``text_col`` replaced by its kind in brackets; a null text stays null, an empty one empty."""
 
     def run(batches):
         anchors = automaton()
@@ -194,4 +232,4 @@ def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
             at = batch.schema.get_field_index(text_col)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return frames.mapped(docs, run, docs.schema)
