@@ -115,7 +115,7 @@ FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(_table(spark, sf_dir, "documents"), redacted=False)
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) A
 p AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
 f AS (SELECT page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(verdict, length(r.host || r.path)) AS verdict
-      FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND (starts_with(p.path, r.path) OR (p.path = '' AND r.path = '/')) GROUP BY page_id)
+      FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
 """
 
