@@ -1,8 +1,9 @@
 """WARC archives from and to a chunked record table.
 
 A record's payload travels as rows (record, chunk number, bytes) of at most
-``CHUNK`` bytes, cut before they reach Python and joined only inside archives,
-so no step holds an oversized payload whole; digests grow chunk by chunk.
+``CHUNK`` bytes, cut right after the scan and joined only inside archives, so no
+shuffle, join or Python step holds an oversized payload whole; digests grow chunk
+by chunk.  (The scan itself reads an html cell as one value.)
 
 Archives are gzip members, one a record, in the shared folder.  A task writes
 files of its own under a fresh name and returns (file, offset, length) rows; a
@@ -31,15 +32,20 @@ CHUNK = 1 << 20
 ARCHIVE_BYTES = 1 << 30
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_RECORDS = 0x7F3A5C8E21B44D60  # the upper half of record ids; the lower half is the page id
+#: The upper half of record ids; the lower half is the page id, or any number for a page without one.
+_RECORDS, _UNNAMED = 0x7F3A5C8E21B44D60, 0x7F3A5C8E21B44D61
 
 
-def record_id(page: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=(_RECORDS << 64) | (page & (1 << 64) - 1))}>"
+def record_id(page: int | None) -> str:
+    whole = (_UNNAMED << 64) | (uuid.uuid4().int >> 64) if page is None else (_RECORDS << 64) | (page & (1 << 64) - 1)
+    return f"<urn:uuid:{uuid.UUID(int=whole)}>"
 
 
-def page_of(record: str) -> int:
-    low = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int & (1 << 64) - 1
+def page_of(record: str) -> int | None:
+    whole = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int
+    low = whole & (1 << 64) - 1
+    if whole >> 64 == _UNNAMED:
+        return None
     return low - (1 << 64) if low >= 1 << 63 else low
 
 
@@ -56,7 +62,7 @@ def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def digests(chunks: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest and its hexadecimal form sha1, of chunk rows that lie record by record, in order."""
+    """page_id, payload_bytes and sha1 (hexadecimal), of chunk rows that lie record by record, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha, total = hashlib.sha1(), 0
@@ -71,20 +77,19 @@ def digests(chunks: DataFrame) -> DataFrame:
                     pages.append(page)
                     sizes.append(total)
                     found.append(sha.digest())
-            yield pa.RecordBatch.from_pydict({"page_id": pa.array(pages, pa.int64()), "payload_bytes": pa.array(sizes, pa.int64()), "payload_digest": pa.array(map(base32_sha1, found), pa.string()), "sha1": pa.array([x.hex() for x in found], pa.string())})
+            yield pa.RecordBatch.from_pydict({"page_id": pa.array(pages, pa.int64()), "payload_bytes": pa.array(sizes, pa.int64()), "sha1": pa.array([x.hex() for x in found], pa.string())})
 
-    return chunks.select("page_id", "chunk_no", "chunks", "chunk").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, sha1 string")
+    return frames.mapped(chunks.select("page_id", "chunk_no", "chunks", "chunk"), run, "page_id long, payload_bytes long, sha1 string")
 
 
-def verdicts(found: DataFrame, least: int = 0) -> DataFrame:
-    """``found`` with refers_to: the smallest page with an equal payload of ``least`` bytes or more, null for that page."""
-    first = found.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    first = first.filter("first < last").drop("last")
-    out = found.join(first, ["payload_digest", "payload_bytes"], "left")
-    return out.select("page_id", "payload_bytes", "payload_digest", "sha1", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+def revisits(found: DataFrame, least: int = 0) -> DataFrame:
+    """page_id, sha1 and refers_to of each page whose payload, of ``least`` bytes or more, a page with a smaller id has: the smallest such page."""
+    some = found.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
+    first = some.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last").drop("last")
+    return some.join(first, ["sha1", "payload_bytes"]).filter("refers_to < page_id").select("page_id", "sha1", "refers_to").distinct()
 
 
-def header(page: int, url: str | None, size: int, digest: str, refers_to: int | None, date: str) -> tuple[bytes, bytes]:
+def header(page: int | None, url: str | None, size: int, digest: str, refers_to: int | None, date: str) -> tuple[bytes, bytes]:
     """The WARC header and the HTTP header of a record."""
     http = _HTTP % size
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or "about:blank"
@@ -96,18 +101,30 @@ def header(page: int, url: str | None, size: int, digest: str, refers_to: int |
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, chunk: int = CHUNK, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes a record for each page and returns where: page_id, path, offset, length.
+    """Writes a record for each page and returns where: page_id, path, offset, length, root.
 
     A page whose payload an earlier page (a smaller id) has is written as a
-    revisit without payload.  A null html is an empty payload, a null url
-    ``about:blank``; rows that repeat an id are each written, under one record
-    id; other columns are ignored; an empty table writes nothing.
+    revisit without payload; a page without an id is always a response.  A null
+    html is an empty payload, a null url ``about:blank``; rows that repeat an id
+    are each written, under one record id; other columns are ignored; an empty
+    table writes nothing.  Pages that revisit are counted: up to
+    ``frames.BROADCAST_ROWS`` of them are broadcast, so payloads stay where they
+    are; beyond, their chunks go through a shuffle.
     """
     spark = pages.sparkSession
-    rows = pages.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     found = frames.written(digests(chunk_table(rows.select("page_id", "payload"), chunk)), "digests")
-    wide = rows.withColumn("sha1", F.sha1("payload")).join(verdicts(found, least).distinct(), ["page_id", "sha1"])
-    wide = wide.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+    again = frames.written(revisits(found, least), "revisits")
+    rows = rows.select("*", F.monotonically_increasing_id().alias("uid"), F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("payload_bytes"))
+    parts = chunk_table(rows, chunk).withColumn("url", F.when(F.col("chunk_no") == 0, F.col("url")))
+    if again.count() <= frames.BROADCAST_ROWS:
+        parts = parts.join(F.broadcast(again), ["page_id", "sha1"], "left")
+    else:  # pages without an id, which may be many, take no part in the join
+        named = parts.filter("page_id is not null").join(again, ["page_id", "sha1"], "left")
+        parts = named.unionByName(parts.filter("page_id is null"), allowMissingColumns=True).sortWithinPartitions("page_id", "sha1", "uid", "chunk_no")
+    parts = parts.filter("refers_to is null or chunk_no = 0").withColumn("chunks", F.expr("if(refers_to is null, chunks, 1)"))
+    parts = parts.withColumn("chunk", F.when(F.col("refers_to").isNull(), F.col("chunk")).otherwise(F.lit(b"")))
+    parts = parts.select("page_id", "url", "payload_bytes", "sha1", "refers_to", "chunk_no", "chunks", "chunk")
     root = f"{frames.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +134,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         try:
             for batch in batches:
                 done = []
-                for page, url, size, digest, refers_to, no, many, part in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", "chunks", "chunk")), strict=True):
+                for page, url, size, sha1, refers_to, no, many, part in zip(*(batch[c].to_pylist() for c in batch.schema.names), strict=True):
                     if no == 0:
                         if out is None or at >= archive_bytes:
                             if out is not None:
@@ -126,7 +143,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                             path, at = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
                             out = store.open_output_stream(path, compression=None)
                         pack, begun = zlib.compressobj(1, zlib.DEFLATED, 31), at
-                        for piece in header(page, url, size, digest, refers_to, date):
+                        for piece in header(page, url, size, base32_sha1(bytes.fromhex(sha1)), refers_to, date):
                             at += out.write(pack.compress(piece))
                     at += out.write(pack.compress(part))
                     if no == many - 1:
@@ -138,7 +155,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             if out is not None:
                 out.close()
 
-    index = chunk_table(wide.drop("sha1"), chunk).mapInArrow(run, "page_id long, path string, offset long, length long")
+    index = frames.mapped(parts, run, "page_id long, path string, offset long, length long")
     index = frames.written(index.withColumn("root", F.lit(root)), "warc-index")
     frames.forget_later(spark, root)
     return index
@@ -147,7 +164,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 def read(index: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The chunk table of archives that ``write`` made: page_id, record_type, refers_to, payload_bytes and payload_digest as the header has them, chunk_no, chunks and chunk.
 
-    Streams each record; what is held is one chunk.  A header that is cut short raises.
+    Streams each record; what is held is a few chunks.  A header that is cut
+    short raises; an empty index gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +195,7 @@ def read(index: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if stream is not None:
             stream.close()
 
-    return index.mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk_no int, chunks int, chunk binary")
+    return frames.mapped(index, run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk_no int, chunks int, chunk binary")
 
 
 def record_chunks(stream, offset: int, length: int, chunk: int) -> Iterator[tuple]:
@@ -234,7 +252,8 @@ def records(chunks: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of the chunk table that ``read`` gives.
 
     A response's size and digest are those of the payload as read; it raises
-    where they differ from its header.  A revisit has those of its header.
+    where they differ from its header.  A revisit has those of its header.  A
+    page written without an id comes back without one; no chunks give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,4 +272,4 @@ def records(chunks: DataFrame) -> DataFrame:
             cols = list(zip(*done, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)})
 
-    return chunks.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return frames.mapped(chunks, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
