@@ -80,7 +80,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
         if held:
             yield count(held)
 
-    top = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM)
+    top = frames.mapped(docs, run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM)
     got = top.orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
     shingle, n = got["shingle"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     order = np.argsort(shingle)
@@ -142,7 +142,7 @@ def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(signs).view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(n, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sketch": pa.array(sketches, pa.binary()), "signatures": lists})
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, sketch binary, signatures array<long>")
+    return frames.mapped(docs, run, "doc_id long, n long, a long, b long, sketch binary, signatures array<long>")
 
 
 def _grouped(df: DataFrame, key: str, schema: str, step) -> DataFrame:
@@ -161,7 +161,7 @@ def _grouped(df: DataFrame, key: str, schema: str, step) -> DataFrame:
                 for at in range(0, len(next(iter(out.values()))), 100_000):
                     yield pa.RecordBatch.from_pydict({c: v[at : at + 100_000] for c, v in out.items()})
 
-    return df.repartition(key).mapInArrow(run, schema)
+    return frames.mapped(df.repartition(key), run, schema)
 
 
 def _shared(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:

@@ -65,18 +65,36 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(line - self.thresholds, -30, 30)))
 
 
-def fit(texts: list[bytes], ratings: np.ndarray, slots: int = SLOTS) -> OrdinalModel:
-    """Maximum likelihood with a ridge, by Adam on the whole sample; grades are the ratings that occur."""
+def likelihood(row: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, params: np.ndarray, slots: int) -> tuple[float, np.ndarray]:
+    """Mean log-likelihood of the grades ``y`` less the ridge, and its gradient.
+
+    ``params``: weights, the first threshold and the logs of the gaps between
+    thresholds, which keeps them ordered.
+    """
+    w, g = params[:slots], params[slots:]
+    t = g[0] + np.r_[0.0, np.cumsum(np.exp(g[1:]))]
+    line = np.bincount(row, value * w[index], len(y))
+    up = 1 / (1 + np.exp(-np.clip(line[:, None] - t[None, :], -30, 30)))
+    # P(y) is the difference of neighbouring tails; its log's gradient in each tail's argument.
+    tails = np.c_[np.ones(len(y)), up, np.zeros(len(y))]
+    p = np.maximum(tails[np.arange(len(y)), y] - tails[np.arange(len(y)), y + 1], 1e-9)
+    slope = up * (1 - up)
+    d = np.zeros_like(up)
+    for k in range(up.shape[1]):
+        d[:, k] = np.where(y == k + 1, slope[:, k] / p, np.where(y == k, -slope[:, k] / p, 0.0))
+    d_t = -d.sum(0)
+    d_gap = np.r_[d_t.sum(), np.exp(g[1:]) * np.cumsum(d_t[::-1])[::-1][1:]]
+    grad = np.r_[np.bincount(index, value * d.sum(1)[row], slots) / len(y) - RIDGE * w, d_gap / len(y)]
+    return float(np.log(p).mean() - RIDGE * (w @ w) / 2), grad
+
+
+def fit(features: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray, slots: int = SLOTS) -> OrdinalModel:
+    """Maximum likelihood with a ridge, by Adam on the whole sample; grades are the ratings that occur, features those of ``features_of``."""
     grades, y = np.unique(ratings, return_inverse=True)
     if len(grades) < 2:
         return OrdinalModel(tuple(int(g) for g in grades) or (0,), np.zeros(slots), np.zeros(0))
-    index, value, sizes = [], [], []
-    for t in texts:
-        at, x = features_of(t, slots)
-        index.append(at)
-        value.append(x)
-        sizes.append(len(at))
-    row, index, value = np.repeat(np.arange(len(y)), sizes), np.concatenate(index), np.concatenate(value)
+    index, value = (np.concatenate([x[i] for x in features]) for i in (0, 1))
+    row = np.repeat(np.arange(len(y)), [len(x[0]) for x in features])
     scale = np.sqrt(np.bincount(index, value**2, slots) / len(y)) + LEAST_SCALE
     value = value / scale[index]
     share = np.array([(y > k).mean() for k in range(len(grades) - 1)])
@@ -84,35 +102,34 @@ def fit(texts: list[bytes], ratings: np.ndarray, slots: int = SLOTS) -> OrdinalM
     gaps = np.r_[theta[0], np.log(np.maximum(np.diff(theta), 1e-3))]
     params = np.concatenate([np.zeros(slots), gaps])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    above = y[:, None] > np.arange(len(grades) - 1)[None, :]
     for step in range(1, STEPS + 1):
-        w, g = params[:slots], params[slots:]
-        t = g[0] + np.r_[0.0, np.cumsum(np.exp(g[1:]))]
-        line = np.bincount(row, value * w[index], len(y))
-        up = 1 / (1 + np.exp(-np.clip(line[:, None] - t[None, :], -30, 30)))
-        # P(y) is the difference of neighbouring tails; its log's gradient in each tail's argument.
-        tails = np.c_[np.ones(len(y)), up, np.zeros(len(y))]
-        p = np.maximum(tails[np.arange(len(y)), y] - tails[np.arange(len(y)), y + 1], 1e-9)
-        slope = up * (1 - up)
-        d = np.zeros_like(up)
-        for k in range(up.shape[1]):
-            d[:, k] = np.where(y == k + 1, slope[:, k] / p, np.where(y == k, -slope[:, k] / p, 0.0))
-        d_t = -d.sum(0)
-        d_gap = np.r_[d_t.sum(), np.exp(g[1:]) * np.cumsum(d_t[::-1])[::-1][1:]]
-        grad = np.r_[np.bincount(index, value * d.sum(1)[row], slots) / len(y) - RIDGE * w, d_gap / len(y)]
+        grad = likelihood(row, index, value, y, params, slots)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) / np.sqrt(step)
-    del above
     g = params[slots:]
     return OrdinalModel(tuple(int(x) for x in grades), params[:slots] / scale, g[0] + np.r_[0.0, np.cumsum(np.exp(g[1:]))])
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", rating_col: str = "quality", fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """A model of the rated documents; null ratings teach nothing, of two ratings of an id the lower counts."""
+    """A model of the rated documents, fitted on at most ``fit_rows`` of them: those with the smallest hash of their id.
+
+    Null ratings teach nothing, of two ratings of an id the lower counts; null
+    and empty texts are two spaces; without ratings or documents the model has
+    one grade, 0.  Features are taken in tasks, so the driver gets a bounded
+    number of slots a document and no texts.
+    """
     rated = ratings.select(F.col(id_col).cast("long").alias("doc_id"), F.col(rating_col).cast("int").alias("rating")).filter("rating is not null and doc_id is not null")
     rated = rated.groupBy("doc_id").agg(F.min("rating").alias("rating")).orderBy(F.xxhash64("doc_id")).limit(fit_rows)
-    sample = frames.with_texts(frames.documents(docs, id_col, text_col), rated).select("doc_id", "rating", "data").toPandas().sort_values("doc_id")
-    return fit([bytes(x) for x in sample["data"]], sample["rating"].to_numpy(int))
+
+    def step(batch: pa.RecordBatch) -> dict:
+        found = [features_of(x) for x in frames.blobs(batch["data"])]
+        ends = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
+        index, value = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        return {"doc_id": batch["doc_id"], "rating": batch["rating"], "at": pa.ListArray.from_arrays(ends, pa.array(index.astype(np.int32))), "value": pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))}
+
+    sample = frames.with_texts(frames.documents(docs, id_col, text_col), rated).select("doc_id", "rating", "data")
+    sample = frames.columns(sample, "doc_id long, rating int, at array<int>, value array<float>", step).toPandas().sort_values(["doc_id", "rating"])
+    return fit([(np.asarray(a, np.intp), np.asarray(x, float)) for a, x in zip(sample["at"], sample["value"], strict=True)], sample["rating"].to_numpy(int))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", least: int | None = None, tail: float = 0.5) -> DataFrame:
@@ -120,7 +137,8 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
     ``least`` is the second-lowest grade unless given.  A null or empty text is
     graded as two spaces; a model of one grade gives that grade, selected;
-    repeated rows are graded each; other columns are ignored.
+    repeated rows are graded each; other columns are ignored; an empty table
+    gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     grades = np.array(model.grades, float)
@@ -148,4 +166,4 @@ def select(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least:
                 keep.append(bool((t[cut] if 0 <= cut < len(t) else float(cut < 0 or not len(t))) >= tail))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return frames.mapped(docs, run, docs.schema)
