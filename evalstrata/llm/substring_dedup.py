@@ -5,11 +5,11 @@ into reference blocks: a block is the stretch of words whose windows (50 words)
 share one anchor, the smallest hash of the 8-word runs inside the window.  The
 cut depends on content alone, so equal stretches are cut alike wherever they
 stand.  All blocks of all documents are indexed by (anchor, content) with the
-earliest document that has them.  A document is then factored greedily against
-that index: consecutive blocks that an earlier document has make one factor.
-What is left to check lies at factor boundaries, where a block as a whole is
-new but its anchor is known: there each single window is looked up.  A factor
-of 50 words or more is a duplicate span.
+earliest document that has them.  Each document is then parsed greedily, left to
+right, against that index: a factor begins at a block that an earlier document
+has and takes every next block of that kind; factors of 50 words or more become
+duplicate spans.  What is left to check lies at factor boundaries, where a block
+as a whole is new but its anchor is known: there each single window is looked up.
 
 The index holds about one entry per 20 words, and each (anchor, content) pair
 keeps one minimum, combined before the shuffle, so a passage that a third of
@@ -56,6 +56,45 @@ def reference_blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return frames.columns(docs, "doc_id long, row int, anchor long, content long, start int, count short", step)
 
 
+def factors_of(blocks: list[dict], window: int = WINDOW) -> tuple[list[tuple[int, int]], list[dict]]:
+    """Word ranges of the greedy factors of a document, and the new blocks at their boundaries.
+
+    ``blocks`` are those that an earlier document has (known) and new ones whose
+    anchor is known, each with its first window and number of windows.
+    """
+    factors, edges, begun, end = [], [], None, -1  # the windows of the factor so far: [begun, end)
+
+    def close() -> None:
+        if begun is not None and end - begun + window - 1 >= window:
+            factors.append((begun, end + window - 1))
+
+    for b in sorted(blocks, key=lambda x: x["start"]):
+        if not b["known"]:
+            edges.append(b)
+        elif begun is not None and b["start"] == end:
+            end += b["count"]
+        else:
+            close()
+            begun, end = b["start"], b["start"] + b["count"]
+    close()
+    return factors, edges
+
+
+def parse(blocks: DataFrame, window: int) -> DataFrame:
+    """doc_id, row, factors (word ranges [start, end)) and edges (start, count, anchor) of each document's blocks."""
+
+    def step(batch: pa.RecordBatch) -> dict:
+        factors, edges = [], []
+        for found in batch["blocks"].to_pylist():
+            f, e = factors_of(found, window)
+            factors.append([{"start": a, "end": b} for a, b in f])
+            edges.append([{k: x[k] for k in ("start", "count", "anchor")} for x in e])
+        kinds = [pa.list_(pa.struct(x)) for x in ([("start", pa.int32()), ("end", pa.int32())], [("start", pa.int32()), ("count", pa.int16()), ("anchor", pa.int64())])]
+        return {"doc_id": batch["doc_id"], "row": batch["row"], "factors": pa.array(factors, kinds[0]), "edges": pa.array(edges, kinds[1])}
+
+    return frames.columns(blocks, "doc_id long, row int, factors array<struct<start:int,end:int>>, edges array<struct<start:int,count:short,anchor:long>>", step)
+
+
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, row, spans: word ranges [start, end) of ``docs`` (doc_id, row, data) to remove."""
     blocks = frames.written(reference_blocks(docs.filter("doc_id is not null"), window, gram), "blocks")
@@ -69,8 +108,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         .drop("split"),
         "factors",
     )
-    inside = factors.filter("known").select("doc_id", "row", "start", (F.col("start") + F.col("count") + F.lit(window - 1)).alias("end"))
-    edges = factors.filter("not known").groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "count", "anchor")).alias("edges"))
+    blocks_by_document = factors.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "count", "anchor", "known")).alias("blocks"))
+    parsed = frames.written(parse(blocks_by_document, window), "parsed")
+    edges = parsed.filter(F.size("edges") > 0).select("doc_id", "row", "edges")
 
     def step(batch: pa.RecordBatch) -> dict:
         out = [[], [], [], [], []]
@@ -85,8 +125,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     windows = frames.columns(frames.packed(docs).join(edges, ["doc_id", "row"]), "doc_id long, row int, content long, tag int, start int", step)
     windows = frames.written(windows, "windows")
     earliest = windows.groupBy("content", "tag").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    boundary = windows.join(earliest, ["content", "tag"]).filter("first < doc_id").select("doc_id", "row", "start", (F.col("start") + window).alias("end"))
-    return inside.unionByName(boundary).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    boundary = windows.join(earliest, ["content", "tag"]).filter("first < doc_id").select("doc_id", "row", "start", (F.col("start") + F.lit(window)).alias("end"))
+    boundary = boundary.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("more"))
+    spans = F.concat("factors", F.coalesce("more", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
+    return parsed.join(boundary, ["doc_id", "row"], "left").select("doc_id", "row", spans.alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -97,7 +139,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     means a smaller id.  A null or empty text has no words; a document with
     fewer than ``window`` words keeps them all; rows that repeat an id never
     remove each other and each come back; a row without an id is kept whole and
-    removes nothing; other columns are ignored.  Windows are judged on the
+    removes nothing; other columns are ignored; an empty table gives no rows.  Windows are judged on the
     input, never on what is left of it.
     """
     rows = frames.documents(docs, id_col, text_col)
