@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents in the sample that orders the rules.
+#: Documents, about, in the sample that orders the rules.
 SAMPLE_ROWS = 1000
 
 _SPACE = r"[\\x20\\x09-\\x0D]"
@@ -64,11 +64,20 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.expr(f"case when sorted is null then 0L else {covered} end").alias("n_repeat_words"))
 
 
-def ordered(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejections per cost on a sample, the best first; ties keep the order given."""
+def sampled(docs: DataFrame, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` rows of ``docs``, drawn row by row where they lie, so none is sent anywhere."""
+    n = docs.count()
+    return docs if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=7)
+
+
+def ordered(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
+    """``rules`` by rejections per cost on the sample ``measured``, the best first; ties keep the order given.
+
+    Sums are made in each partition; only they are brought together.
+    """
     stats = [F.sum(F.expr(f"if({r.rejects}, 1D, 0D)")).alias(f"r{i}") for i, r in enumerate(rules)]
     stats += [F.sum(F.expr(f"cast({r.cost} as double)")).alias(f"c{i}") for i, r in enumerate(rules)]
-    row = measured.limit(sample_rows).agg(*stats).first()
+    row = measured.agg(*stats).first()
     worth = [(row[f"r{i}"] or 0.0) / max(row[f"c{i}"] or 0.0, 1.0) for i in range(len(rules))]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -worth[i])]
 
@@ -87,10 +96,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     ``base_failed``: fewer than 20 words, or over 30 of 100 words inside 8-word
     windows that the text has twice or more.  A null text is an empty one and
     fails the base; repeated rows are judged each; other columns are ignored;
-    an empty table gives no rows.
+    an empty table gives no rows.  Every caller gets all measures, so rules on
+    measures alone cost nothing more; those that read the text again are the ones
+    that the cascade spares.
     """
     measured = measures(docs, id_col, text_col)
-    order = ordered(measured, rules, sample_rows)
+    order = ordered(measures(sampled(docs, sample_rows), id_col, text_col), rules)
     out = measured.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
     return out.withColumn("kept", F.col("rejected_by").isNull()).drop("text")
