@@ -75,7 +75,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     vocabulary = windows.select(F.explode("words").alias("w")).distinct()
     n_vocabulary, n_windows = vocabulary.count(), windows.count()
     said = texts.select(F.explode(F.expr(_WORDS.format("text"))).alias("w")).select(F.expr(_FOLD).alias("w"))
-    counts = said.join(_small(vocabulary, n_vocabulary), "w").groupBy("w").agg(F.count("*").alias("n"))
+    if n_vocabulary <= BROADCAST_WINDOWS:
+        counts = said.join(F.broadcast(vocabulary), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    else:  # a task sends each word once, however common it is
+        counts = said.groupBy("w").agg(F.count("*").alias("n")).join(vocabulary, "w", "left_semi")
     placed = windows.select("window", F.posexplode("words").alias("at", "w")).join(counts, "w", "left")
     rarest = placed.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w", "at")).alias("r"))
     prefix = frames.written(windows.join(rarest, "window").select("window", "words", "items", F.col("r.w").alias("token"), F.col("r.at").alias("at")), "prefix")
