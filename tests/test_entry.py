@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from pathlib import Path
 
 import duckdb
@@ -35,3 +36,19 @@ def test_query_equals_oracle(spark, name):
     cols = sorted(got.columns)
     want = db.execute(f"SELECT {', '.join(cols)} FROM ({entry_module.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.select(*cols).collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("missing", ["evalstrata.llm", "corpus_pipeline"])
+def test_queries_without_an_optional_part(monkeypatch, missing):
+    """A part that cannot be imported takes no other query with it."""
+    real = importlib.import_module
+
+    def without(name, *rest):
+        if name.startswith(missing):
+            raise ImportError(f"no {name}")
+        return real(name, *rest)
+
+    monkeypatch.setattr(entry_module.importlib, "import_module", without)
+    with pytest.warns(UserWarning, match="left out"):
+        names = set(entry_module.queries())
+    assert "flagship_run_summary" in names and "pipeline" not in names
