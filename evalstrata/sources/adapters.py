@@ -59,7 +59,9 @@ SELECT o_orderkey AS id, 1 + o_custkey % 4 AS project_id, o_custkey % 6 AS provi
        CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_totalprice / 1000 END AS runtime_seconds,
        CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE NULL END AS archived_at,
        CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey * 1000 ELSE NULL END AS memory_bytes, o_orderkey AS created_at,
-       1 + o_orderkey % 3 AS repetitions, o_orderkey % 2 AS seed, o_custkey % 3 AS split_no
+       1 + o_orderkey % 3 AS repetitions, o_orderkey % 2 AS seed, o_custkey % 3 AS split_no,
+       concat('q', o_custkey % 2) AS questions, concat('v', o_orderkey % 2) AS variants, CASE WHEN o_orderkey % 4 = 0 THEN 20 ELSE 0 END AS temperature_percent,
+       CASE WHEN o_custkey % 5 = 0 THEN 64 ELSE 128 END AS max_tokens
 FROM orders""",
     ),
     "v_providers": (("nation",), "SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'ollama' ELSE 'openai' END AS kind, n_nationkey % 3 = 0 AS is_demo FROM nation WHERE n_nationkey < 7"),
@@ -74,6 +76,21 @@ SELECT doc_id AS id, text AS content, source AS source_group, n_chars AS width,
         """
 SELECT doc_id AS image_id, 1 AS question_id, CASE quality WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END AS value FROM labels
 UNION ALL SELECT doc_id, 2, CASE toxic WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END FROM labels""",
+    ),
+    "v_variants": (
+        ("nation",),
+        """
+SELECT n_nationkey AS id, CASE WHEN n_nationkey >= 20 THEN 2 ELSE 1 END AS question_id, n_nationkey % 10 = 0 AS canonical,
+       CASE WHEN n_nationkey % 10 = 1 THEN '' ELSE n_name END AS name, CASE WHEN n_nationkey % 10 = 2 THEN NULL ELSE 'en' END AS language,
+       CASE WHEN n_nationkey % 10 = 0 THEN 'canonical' WHEN n_nationkey = 11 THEN '' ELSE 'paraphrase' END AS mutation_type
+FROM nation WHERE n_nationkey BETWEEN 10 AND 22 AND n_nationkey % 10 < 3""",
+    ),
+    "v_cards": (("part",), "SELECT p_partkey AS id, p_brand AS source_group FROM part WHERE p_partkey % 50 <> 0"),
+    "v_truths": (
+        ("part",),
+        """
+SELECT p_partkey AS image_id, 1 AS question_id, CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS value FROM part WHERE p_partkey % 4 <> 0
+UNION ALL SELECT p_partkey, 2, 'no' FROM part WHERE p_partkey % 3 <> 0""",
     ),
     "v_features": (
         ("part",),
