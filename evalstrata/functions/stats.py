@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,19 +45,29 @@ def exact_mcnemar_p(b: Column | str, c: Column | str) -> Column:
     """Two-sided exact McNemar p: min(1, 2 sum_{k<=min} C(n, k) / 2**n), 1 where n is 0.
 
     Terms are summed relative to the last one, C(n, m), going down from k = m,
-    so nothing under- or overflows; ln C(n, m) is a sum of logarithms.
+    so nothing under- or overflows.  They fall off at least as fast as a normal
+    density, so 5 sqrt(n) + 50 of them leave out less than 1e-18 of the sum.  ln
+    C(n, m) is a sum of logarithms for small m, Stirling's series for large ones.
     """
     b, c = (F.col(x) if isinstance(x, str) else x for x in (b, c))
-    n, m = (b + c).cast("int"), F.least(b, c).cast("int")
-    steps = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
-    log_last = F.aggregate(steps, F.lit(0.0), lambda a, k: a + F.log((n - m + k).cast("double")) - F.log(k.cast("double")))
+    n, m = (b + c).cast("long"), F.least(b, c).cast("long")
+    few = F.least(m, F.lit(1000)).cast("int")
+    steps = lambda k: F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    log_small = F.aggregate(steps(few), F.lit(0.0), lambda a, k: a + F.log((n - m + k).cast("double")) - F.log(k.cast("double")))
+
+    def log_factorial(x: Column) -> Column:
+        x = F.greatest(x.cast("double"), F.lit(1.0))
+        return x * F.log(x) - x + F.log(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x)
+
+    log_last = F.when(m <= 1000, log_small).otherwise(log_factorial(n) - log_factorial(m) - log_factorial(n - m))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def down(a: Column, k: Column) -> Column:  # C(n, j-1) = C(n, j) * j / (n - j + 1), j = m - k + 1
         term = a["term"] * (m - k + 1).cast("double") / (n - m + k).cast("double")
         return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
 
-    total = F.aggregate(steps, start, down, lambda a: a["total"])
+    enough = F.least(m, F.ceil(5 * F.sqrt(n.cast("double")) + 50)).cast("int")
+    total = F.aggregate(steps(enough), start, down, lambda a: a["total"])
     p = F.exp(log_last + F.log(total) + (1.0 - n.cast("double")) * F.log(F.lit(2.0)))
     return F.when(n <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p))
 

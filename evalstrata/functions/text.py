@@ -130,12 +130,42 @@ AXES = ("language", "negation", "ambiguity", "paraphrase", "examples", "order",
 
 
 def unique_slugs(names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
-    """id and slug of each name, later ones (by id) of an equal slug numbered from 2."""
+    """id and slug of each name in the order of ids: the slug itself if it is free, else the first free number from 2 on behind it.
+
+    Slugs can only collide within a family, those that are equal without their
+    trailing numbers.  Families whose slugs have no trailing numbers are numbered
+    by rank; the others one by one, as a sorted stream that keeps counters only.
+    """
     from pyspark.sql import Window as W
 
-    base = names.select(F.col(id_col).alias("id"), slugify(F.col(name_col)).alias("base"))
+    base = names.select(F.col(id_col).alias("id"), slugify(F.col(name_col)).alias("base")).withColumn("family", F.regexp_replace("base", "(-[0-9]+)+$", ""))
+    mixed = base.filter("base != family").select("family").distinct()
     n = F.row_number().over(W.partitionBy("base").orderBy("id"))
-    return base.withColumn("n", n).select("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"))
+    plain = base.join(mixed, "family", "left_anti").withColumn("n", n)
+    plain = plain.select("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"))
+
+    def one_by_one(batches):
+        import pyarrow as pa
+
+        family, taken, following = None, set(), {}
+        for batch in batches:
+            out = []
+            for b, f in zip(batch["base"].to_pylist(), batch["family"].to_pylist(), strict=True):
+                if f != family:
+                    family, taken, following = f, set(), {}
+                slug = b
+                if slug in taken:
+                    k = following.get(b, 2)
+                    while f"{b}-{k}" in taken:
+                        k += 1
+                    slug, following[b] = f"{b}-{k}", k + 1
+                taken.add(slug)
+                out.append(slug)
+            yield pa.RecordBatch.from_pydict({"id": batch["id"], "slug": pa.array(out, pa.string())})
+
+    kind = dict(base.dtypes)["id"]
+    rest = base.join(mixed, "family", "left_semi").repartition("family").sortWithinPartitions("family", "id").select("id", "base", "family").mapInArrow(one_by_one, f"id {kind}, slug string")
+    return plain.unionByName(rest)
 
 
 def stress_variants(raw: DataFrame, axes: tuple[str, ...] = AXES, most: int = 8) -> DataFrame:

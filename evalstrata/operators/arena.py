@@ -69,7 +69,12 @@ def sole_leaders(ranked: DataFrame) -> DataFrame:
     return best.groupBy("measure").agg(F.when(F.count("*") == 1, F.min("run_id")).alias("leader"))
 
 
+#: What runs must share to meet in an arena, and how many may.
+SIGNATURE = ("project_id", "questions", "variants", "repetitions", "temperature_percent", "seed", "max_tokens", "split_no")
+MEETING = (2, 12)
+
+
 def signature_groups(runs: DataFrame) -> DataFrame:
-    """Runs that may meet in an arena: those with one protocol (project, repetitions, seed, split)."""
-    key = ["project_id", "repetitions", "seed", "split_no"]
-    return runs.filter("status = 'completed'").groupBy(*key).agg(F.count("*").alias("runs"), F.min("id").alias("first_run")).filter("runs between 2 and 1000000")
+    """Completed runs that may meet in an arena: 2 to 12 of one protocol, in all of SIGNATURE."""
+    out = runs.filter("status = 'completed'").groupBy(*SIGNATURE).agg(F.count("*").alias("runs"), F.min("id").alias("first_run"))
+    return out.filter(F.col("runs").between(*MEETING))

@@ -33,8 +33,13 @@ def diagnostic_units(rows: DataFrame, features: DataFrame) -> DataFrame:
 def risk_patterns(units: DataFrame, least: int = 2) -> DataFrame:
     """Each tag's failure rate against that outside it (total less inside; the whole where nothing is outside), by run."""
     inside = units.select("run_id", "image_id", "error", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("run_id", "tag").agg(
-        F.count("*").alias("units"), F.count_if("error").alias("failures"), F.slice(F.array_sort(F.collect_set(F.when(F.col("error"), F.col("image_id")))), 1, 6).alias("examples")
+        F.count("*").alias("units"), F.count_if("error").alias("failures")
     )
+    # Six examples a tag: Spark keeps only six rows a group before it sends them anywhere.
+    failing = units.filter("error").select("run_id", "image_id", F.explode(F.array_distinct("tags")).alias("tag")).distinct()
+    nth = F.row_number().over(W.partitionBy("run_id", "tag").orderBy("image_id"))
+    few = failing.withColumn("nth", nth).filter("nth <= 6").groupBy("run_id", "tag").agg(F.array_sort(F.collect_list("image_id")).alias("examples"))
+    inside = inside.join(few, ["run_id", "tag"], "left").withColumn("examples", F.coalesce("examples", F.array()))
     all_ = units.groupBy("run_id").agg(F.count("*").alias("all_units"), F.count_if("error").alias("all_failures"))
     out = inside.filter(F.col("units") >= least).join(F.broadcast(all_), "run_id")  # one row a run
     outside = F.when(F.col("all_units") > F.col("units"), share(F.col("all_failures") - F.col("failures"), F.col("all_units") - F.col("units"))).otherwise(share("all_failures", "all_units"))

@@ -270,7 +270,7 @@ def arena_pairwise(spark: SparkSession, d: str) -> DataFrame:
     return rounded(arena.arena_pairwise(responses(spark, d)))
 
 
-@register("arena_signature_groups", "SELECT project_id, repetitions, seed, split_no, count(*) AS runs, min(id) AS first_run FROM v_runs WHERE status = 'completed' GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2", "v_runs")
+@register("arena_signature_groups", f"SELECT {', '.join(arena.SIGNATURE)}, count(*) AS runs, min(id) AS first_run FROM v_runs WHERE status = 'completed' GROUP BY ALL HAVING count(*) BETWEEN 2 AND 12", "v_runs")
 def arena_signature_groups(spark: SparkSession, d: str) -> DataFrame:
     return arena.signature_groups(view(spark, d, "v_runs"))
 
@@ -406,7 +406,7 @@ def annotator_report(spark: SparkSession, d: str) -> DataFrame:
     "alpha_bootstrap_hash",
     """WITH cu AS (SELECT image_id, question_id, count(*) AS n, count(*) FILTER (value = 'yes') AS y, count(*) FILTER (value = 'no') AS o, count(*) FILTER (value = 'uncertain') AS u, count(*) FILTER (value = 'exclude') AS e FROM v_labels WHERE NOT is_adjudication GROUP BY ALL HAVING count(*) >= 2),
 p AS (SELECT *, row_number() OVER (ORDER BY question_id, image_id) - 1 AS pos, count(*) OVER () AS total FROM cu),
-t AS (SELECT rep, CAST('0x' || substr(md5('20260825|' || rep || '|' || pos), 1, 15) AS BIGINT) % total AS pos FROM p, (SELECT unnest(range(0, 40)) AS rep) r),
+t AS (SELECT rep, CAST('0x' || substr(md5('20260825|' || rep || '|' || pos), 1, 15) AS BIGINT) % total AS pos FROM p, (SELECT unnest(range(0, 800)) AS rep) r),
 g AS (SELECT rep, sum(CAST(n * n - (y*y + o*o + u*u + e*e) AS DOUBLE) / (n - 1)) AS d_o, CAST(sum(n) AS DOUBLE) AS tt, CAST(sum(y) AS DOUBLE) * sum(y) + CAST(sum(o) AS DOUBLE) * sum(o) + CAST(sum(u) AS DOUBLE) * sum(u) + CAST(sum(e) AS DOUBLE) * sum(e) AS sq FROM t JOIN p USING (pos) GROUP BY 1),
 a AS (SELECT CASE WHEN tt * tt - sq > 0 THEN 1 - d_o / ((tt * tt - sq) / (tt - 1)) END AS alpha FROM g)
 SELECT (SELECT count(*) FROM cu) AS units, count(alpha) AS defined, round(quantile_cont(alpha, 0.025), 6) AS low, round(quantile_cont(alpha, 0.975), 6) AS high FROM a""",
@@ -580,12 +580,12 @@ def near_duplicates_20(spark: SparkSession, d: str) -> DataFrame:
     return audit.near_duplicates(hashed(spark, d), 20)
 
 
-CLUSTERS = f"""WITH RECURSIVE {near(18)}, e AS (SELECT a, b FROM np UNION ALL SELECT b, a FROM np), reach AS (SELECT id AS a, id AS b FROM hv UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), cl AS (SELECT a AS node, min(b) AS cluster FROM reach GROUP BY 1)"""
+CLUSTERS = f"""WITH RECURSIVE {near(audit.SAME_SCENE)}, star AS (SELECT min(id) OVER (PARTITION BY scene) AS a, id AS b FROM hv WHERE scene IS NOT NULL), e AS (SELECT a, b FROM np UNION ALL SELECT b, a FROM np UNION ALL SELECT a, b FROM star UNION ALL SELECT b, a FROM star), reach AS (SELECT id AS a, id AS b FROM hv UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), cl AS (SELECT a AS node, min(b) AS cluster FROM reach GROUP BY 1)"""
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
     h = hashed(spark, d)
-    links = audit.near_duplicates(h, 18).select("a", "b").union(audit.scene_links(h))
+    links = audit.near_duplicates(h).select("a", "b").union(audit.scene_links(h))
     return audit.clusters(h.select("id"), links)
 
 
