@@ -239,9 +239,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def step(batch: pa.RecordBatch) -> dict:
         keep, last = [], (None, None)
-        for u, left, right in zip(batch["u"].to_pylist(), frames.unpack(batch["left"]), frames.unpack(batch["right"]), strict=True):
-            if last[0] != u:
-                last = (u, shingles_of(left, size))
+        for left, right in zip(frames.unpack(batch["left"]), frames.unpack(batch["right"]), strict=True):
+            if last[0] != left:  # not by id: an id may have several texts
+                last = (left, shingles_of(left, size))
             a, b = last[1], shingles_of(right, size)
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(100 * both >= percent * (len(a) + len(b) - both))
