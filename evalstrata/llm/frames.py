@@ -53,6 +53,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the folder of a table that ``written`` gave and that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def hand_back() -> None:
     """Gives memory that this worker no longer uses back to the system; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

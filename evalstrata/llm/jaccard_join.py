@@ -15,10 +15,11 @@ chance below 1e-15.)
 
 Verification never emits a group's pairs.  Each group that shares a signature
 is first held against its best-connected member; what links there is one
-component.  In groups that still hold several components, a pair across
-components goes on only if 1024-bit parity sketches of its sets differ in at
-most d bits, which no linking pair exceeds.  Candidate pairs are checked exactly
-on the documents' sets.
+component.  In groups that still hold several components, the pairs across
+components are candidates.  Of both kinds a pair goes on only if 1024-bit parity
+sketches of its sets differ in at most d bits, which no linking pair exceeds.
+What is left is checked exactly on the documents' sets; only texts of such pairs
+travel.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ SKETCH = 1024
 #: Exact copies within a task sign once; so many sets are remembered for that.
 SEEN = 100_000
 SMALL = 64
+#: Slots of the bitmap that tells which texts verification needs: at most 2**18 rows of 64 slots are broadcast, whatever the input.
+SLOTS = 1 << 24
 
 
 def shingles_of(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -165,9 +168,17 @@ def _grouped(df: DataFrame, key: str, schema: str, step) -> DataFrame:
 
 
 def _shared(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
-    """Rows whose signature another row has."""
+    """Signatures that different sets have, each set once: copies that several tasks signed need no signature to meet."""
     keep = np.repeat(size > 1, size)
-    yield {c: cols[c][keep] for c in ("sign", "a")}
+    sign, a = cols["sign"][keep], cols["a"][keep]
+    order = np.lexsort((a, sign))
+    sign, a = sign[order], a[order]
+    fresh = np.ones(len(sign), bool)
+    fresh[1:] = (sign[1:] != sign[:-1]) | (a[1:] != a[:-1])
+    sign, a = sign[fresh], a[fresh]
+    _, where, sets = np.unique(sign, return_inverse=True, return_counts=True)
+    keep = sets[where] > 1
+    yield {"sign": sign[keep], "a": a[keep]}
 
 
 def _stars(percent: int):
@@ -234,8 +245,37 @@ def _across(percent: int):
     return step
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets link: both texts are brought together and counted exactly."""
+def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that sizes and sketches allow to link, so that no texts travel for the others."""
+
+    def step(batch: pa.RecordBatch) -> dict:
+        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("u_sketch", "v_sketch"))
+        most = (100 - percent) * (batch["u_n"].to_numpy() + batch["v_n"].to_numpy()) // (100 + percent)
+        keep = pa.array(np.bitwise_count(x ^ y).sum(1) <= most, pa.bool_())
+        return {"u": batch["u"].filter(keep), "v": batch["v"].filter(keep)}
+
+    known = sets.filter("n > 0").select("doc_id", "n", "sketch")
+    for side in ("v", "u"):
+        pairs = pairs.join(known.select(F.col("doc_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), side)
+    return frames.columns(pairs, "u long, v long", step).distinct()
+
+
+def _taking_part(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows whose id may be in a pair, by a bitmap of hashed ids; a row too many costs its way through the shuffle, no more."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    bits = (
+        pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
+        .select(slot.alias("slot"))
+        .groupBy(F.expr("slot div 64").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits"))
+    )
+    held = rows.withColumn("slot", slot).join(F.broadcast(bits), F.expr("slot div 64 = word and (bits & shiftleft(1L, int(slot % 64))) != 0"), "left_semi")
+    return held.drop("slot")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The written pairs (u, v) whose sets link: both texts are brought together and counted exactly."""
+    texts = frames.packed(_taking_part(rows, pairs))
 
     def step(batch: pa.RecordBatch) -> dict:
         keep, last = [], (None, None)
@@ -263,25 +303,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     back with a null component; other columns are ignored.
     """
     rows = frames.documents(docs, id_col, text_col)
-    sets = frames.written(signed_sets(rows, size, percent), "sets")
+    signed = frames.written(signed_sets(rows, size, percent), "signed")
+    # Half of a set's name tells sets apart here as well as a shingle's hash tells shingles apart; pairs are checked exactly.
+    named = signed.filter("n > 0 and doc_id is not null").select("a", F.explode("signatures").alias("sign"))
+    shared = frames.written(_grouped(named, "sign", "sign long, a long", _shared), "shared")
+    sets = frames.written(signed.drop("signatures"), "sets")
+    frames.discard(signed)
     some = sets.filter("n > 0 and doc_id is not null")
-    # Half of a set's name is enough here: sets that share it share signatures too, and pairs are checked exactly.
-    shared = frames.written(_grouped(some.select("a", F.explode("signatures").alias("sign")), "sign", "sign long, a long", _shared), "shared")
     degree = shared.groupBy("a").agg(F.count("*").alias("degree"))
     # A set's node is the smallest id that has it; an id with several texts may be the node of several sets.
     nodes = some.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
     nodes = frames.written(nodes.join(degree, "a", "left").select("a", "b", "node", "n", F.coalesce("degree", F.lit(0)).alias("degree")), "nodes")
-    texts = frames.packed(rows)
     stars = shared.join(nodes, "a").select("sign", "node", "n", "degree")
     pairs = frames.written(_grouped(stars, "sign", "u long, v long", _stars(percent)).distinct(), "pairs")
-    links = frames.written(_verified(pairs, texts, size, percent), "linked")
+    hopeful = frames.written(_sketched(pairs, some, percent), "hopeful")
+    links = frames.written(_verified(hopeful, rows, size, percent), "linked")
     found = components(links).withColumnRenamed("node", "known")
     parts = nodes.join(found, nodes["node"] == found["known"], "left").select("a", "node", F.coalesce("component", "node").alias("component"))
-    still = frames.written(_grouped(shared.join(parts, "a").select("sign", "node", "component", "a"), "sign", "sign long, node long, component long, a long", _open).distinct(), "open")
+    still = frames.written(_grouped(shared.join(parts, "a").select("sign", "node", "component", "a"), "sign", "sign long, node long, component long, a long", _open), "open")
     held = still.select("a", F.col("node").alias("doc_id")).distinct()
     sketches = some.select("a", "b", "doc_id", "n", "sketch").join(held, ["a", "doc_id"]).dropDuplicates(["a", "b"]).select("a", F.col("doc_id").alias("node"), "n", "sketch")
     rest = _grouped(still.join(sketches, ["a", "node"]).select("sign", "node", "component", "n", "sketch"), "sign", "u long, v long", _across(percent)).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = frames.written(_verified(frames.written(rest, "rest"), texts, size, percent), "linked")
+    more = frames.written(_verified(frames.written(rest, "rest"), rows, size, percent), "linked")
     same = some.select("doc_id", "a", "b").join(nodes.select("a", "b", "node"), ["a", "b"]).filter("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     final = components(links.unionByName(more).unionByName(same))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left")
