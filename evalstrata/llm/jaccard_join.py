@@ -16,8 +16,8 @@ chance below 1e-15.)
 Verification never emits a group's pairs.  Each group that shares a signature
 is first held against its best-connected member; what links there is one
 component.  In groups that still hold several components, the pairs across
-components are candidates.  Of both kinds a pair goes on only if 1024-bit parity
-sketches of its sets differ in at most d bits, which no linking pair exceeds.
+components are candidates.  Of both kinds a pair goes on only if parity sketches
+(1024 bits, or more for larger sets) of its sets differ in at most d bits, which no linking pair exceeds.
 What is left is checked exactly on the documents' sets; only texts of such pairs
 travel.
 """
@@ -41,7 +41,7 @@ SHINGLE, PERCENT = 5, 75
 COMMON, COMMON_FROM = 1 << 18, 4
 #: Shingles counted together in one task; those seen once there are left out of the order.
 COUNTED = 1 << 22
-#: Bits of the parity sketch of a set.
+#: Bits of the parity sketch of a set, at least.
 SKETCH = 1024
 #: Exact copies within a task sign once; so many sets are remembered for that.
 SEEN = 100_000
@@ -111,9 +111,26 @@ def signatures(members: np.ndarray, count: np.ndarray, percent: int) -> np.ndarr
 
 
 def sketch_of(members: np.ndarray) -> bytes:
-    """The parity of the number of members in each of SKETCH slots; two sketches differ in no more bits than their sets in members."""
-    slot = (mix(members) >> np.uint64(33)).astype(np.int64) % SKETCH
-    return np.packbits(np.bincount(slot, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+    """The parity of the number of members in each slot; two sketches differ in no more bits than their sets in members.
+
+    There are SKETCH slots, or the power of two from the set's size on: with
+    fewer slots than members strangers would not differ enough to be told apart.
+    """
+    slots = max(SKETCH, 1 << (len(members) - 1).bit_length()) if len(members) else SKETCH
+    slot = (mix(members) >> np.uint64(33)).astype(np.int64) % slots
+    return np.packbits(np.bincount(slot, minlength=slots).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketch: bytes, size: int = SKETCH // 8) -> bytes:
+    """The sketch of the same set with fewer slots, in ``size`` bytes."""
+    return sketch if len(sketch) == size else np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, with the slots of the smaller one."""
+    size = min(len(x), len(y))
+    a, b = (np.frombuffer(folded(s, size), np.uint64) for s in (x, y))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -168,7 +185,12 @@ def _grouped(df: DataFrame, key: str, schema: str, step) -> DataFrame:
 
 
 def _shared(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
-    """Signatures that different sets have, each set once: copies that several tasks signed need no signature to meet."""
+    """Groups of different sets that share a signature, under a name of the group in the place of the signature.
+
+    A set is in a group once: copies that several tasks signed need no signature
+    to meet.  Near copies share many signatures and would come back as many equal
+    groups; under their name those are one.
+    """
     keep = np.repeat(size > 1, size)
     sign, a = cols["sign"][keep], cols["a"][keep]
     order = np.lexsort((a, sign))
@@ -176,9 +198,15 @@ def _shared(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
     fresh = np.ones(len(sign), bool)
     fresh[1:] = (sign[1:] != sign[:-1]) | (a[1:] != a[:-1])
     sign, a = sign[fresh], a[fresh]
-    _, where, sets = np.unique(sign, return_inverse=True, return_counts=True)
-    keep = sets[where] > 1
-    yield {"sign": sign[keep], "a": a[keep]}
+    if len(sign):
+        edge = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
+        sets = np.diff(np.r_[edge, len(sign)])
+        name = mix(np.add.reduceat(mix(a.view(np.uint64)), edge) ^ sets.astype(np.uint64)).view(np.int64)
+        once = np.zeros(len(edge), bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        keep = np.repeat(once & (sets > 1), sets)
+        sign, a = np.repeat(name, sets)[keep], a[keep]
+    yield {"sign": sign, "a": a}
 
 
 def _stars(percent: int):
@@ -212,7 +240,9 @@ def _across(percent: int):
 
     def step(cols: dict, edge: np.ndarray, size: np.ndarray) -> Iterator[dict]:
         node, part, many = (cols[c] for c in ("node", "component", "n"))
-        sketches = np.frombuffer(b"".join(cols["sketch"]), np.uint64).reshape(-1, SKETCH // 64)
+        whole = cols["sketch"]
+        sketches = np.frombuffer(b"".join(map(folded, whole)), np.uint64).reshape(-1, SKETCH // 64)
+        large = np.fromiter(map(len, whole), np.int64, len(whole)) > SKETCH // 8
         held, total = [], 0
 
         def fitting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -221,6 +251,8 @@ def _across(percent: int):
             x, y = x[keep], np.broadcast_to(y, keep.shape)[keep]
             most = (100 - percent) * (many[x] + many[y]) // (100 + percent)
             keep = np.bitwise_count(sketches[x] ^ sketches[y]).sum(1) <= most
+            for k in np.flatnonzero(keep & large[x] & large[y]):
+                keep[k] = apart(whole[x[k]], whole[y[k]]) <= most[k]
             a, b = node[x[keep]], node[y[keep]]
             return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
 
@@ -249,9 +281,9 @@ def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that sizes and sketches allow to link, so that no texts travel for the others."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("u_sketch", "v_sketch"))
         most = (100 - percent) * (batch["u_n"].to_numpy() + batch["v_n"].to_numpy()) // (100 + percent)
-        keep = pa.array(np.bitwise_count(x ^ y).sum(1) <= most, pa.bool_())
+        differ = [apart(x, y) for x, y in zip(batch["u_sketch"].to_pylist(), batch["v_sketch"].to_pylist(), strict=True)]
+        keep = pa.array(np.array(differ, np.int64) <= most, pa.bool_())
         return {"u": batch["u"].filter(keep), "v": batch["v"].filter(keep)}
 
     known = sets.filter("n > 0").select("doc_id", "n", "sketch")
@@ -306,7 +338,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = frames.written(signed_sets(rows, size, percent), "signed")
     # Half of a set's name tells sets apart here as well as a shingle's hash tells shingles apart; pairs are checked exactly.
     named = signed.filter("n > 0 and doc_id is not null").select("a", F.explode("signatures").alias("sign"))
-    shared = frames.written(_grouped(named, "sign", "sign long, a long", _shared), "shared")
+    shared = frames.written(_grouped(named, "sign", "sign long, a long", _shared).distinct(), "shared")
     sets = frames.written(signed.drop("signatures"), "sets")
     frames.discard(signed)
     some = sets.filter("n > 0 and doc_id is not null")

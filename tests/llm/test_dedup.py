@@ -111,6 +111,28 @@ def test_similar_sets_share_a_signature_and_sketches_bound_the_difference(size,
     assert np.bitwise_count(bits(a) ^ bits(b)).sum() <= union - both
 
 
+@pytest.mark.parametrize("small, more", [(0, 3), (900, 200), (1000, 40), (5000, 1500), (20_000, 9000)])
+def test_sketches_of_unequal_sizes_never_differ_more_than_sets(small, more):
+    rng = np.random.default_rng(small)
+    a = np.unique(rng.integers(0, 2**63, small).astype(np.uint64))
+    b = np.union1d(a[small // 50 :], rng.integers(0, 2**63, more).astype(np.uint64))
+    x, y = jaccard_join.sketch_of(a), jaccard_join.sketch_of(b)
+    assert jaccard_join.apart(x, y) <= len(np.setxor1d(a, b))
+    stranger = jaccard_join.sketch_of(np.unique(rng.integers(0, 2**63, max(small, 1)).astype(np.uint64)))
+    assert small < 5000 or jaccard_join.apart(x, stranger) > 2 * len(a) * 25 // 175
+
+
+def test_equal_groups_come_back_once():
+    """Two signatures of the same two sets are one group; copies of one set are none."""
+    cols = {"sign": np.array([1, 1, 2, 2, 3, 3, 4, 4, 4]), "a": np.array([7, 8, 8, 7, 9, 9, 7, 9, 9])}
+    edge = np.array([0, 2, 4, 6])
+    (got,) = jaccard_join._shared(cols, edge, np.array([2, 2, 2, 3]))
+    groups = {}
+    for sign, a in zip(got["sign"].tolist(), got["a"].tolist(), strict=True):
+        groups.setdefault(sign, []).append(a)
+    assert sorted(groups.values()) == [[7, 8], [7, 9]]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 3), (7, 7), (5, 6), (6, 5), (100, 9), (2, 1)] + [(1000 + i, 1001 + i) for i in range(40)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
