@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import queries as evaluation
-from .plans import records  # noqa: F401  registers its queries beside them
+from .plans import assembled, records  # noqa: F401  they register their queries beside them
 
 Query = Callable[[SparkSession, str], DataFrame]
 
