@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.stats import exact_mcnemar_p, paired_difference_interval, share, wilson
+from ..functions.stats import exact_mcnemar_p, paired_difference_interval, pairs, share, wilson
 from ..plans.units import eligible, scene, unit_table
-from .metrics import prompt_fragility, repeat_drift
+from .quantiles import grouped_quantiles
 
 
 def arena_units(rows: DataFrame) -> DataFrame:
@@ -29,19 +29,40 @@ def overlap(units: DataFrame, n_runs: int) -> DataFrame:
     return out.withColumn("overlap_rate", share("common_units", "union_units"))
 
 
+def flagged_units(rows: DataFrame, n_runs: int) -> DataFrame:
+    """The unit table with ``ready`` (a majority on a decidable truth), ``shared`` (ready in all ``n_runs`` runs) and ``right``.
+
+    The window's groups are one unit of each run.
+    """
+    ready = eligible() & F.col("answer").isNotNull()
+    have = F.sum(F.col("ready").cast("int")).over(W.partitionBy("image_id", "variant_id"))
+    out = unit_table(rows).withColumn("ready", ready).withColumn("shared", F.col("ready") & (have == n_runs))
+    return out.withColumn("right", F.col("ready") & (F.col("answer") == F.col("ground_truth")))
+
+
 def arena_rank(rows: DataFrame, n_runs: int) -> DataFrame:
-    """Runs ranked on their common units: accuracy, scene balance, fragility, drift, latency, id."""
-    units = arena_units(rows)
-    own = units.groupBy("run_id").agg(F.count("*").alias("own_units"), F.count_if("right").alias("own_correct"))
-    shared = units.join(common_keys(units, n_runs), ["image_id", "variant_id"])
-    by_scene = shared.groupBy("run_id", "scene").agg(F.count("*").alias("u"), F.count_if("right").alias("c"))
-    score = by_scene.groupBy("run_id").agg(F.sum("u").alias("units"), F.sum("c").alias("correct"), F.avg(F.col("c") / F.col("u")).alias("scene_balanced"))
-    matched = rows.join(shared.select("run_id", "image_id", "variant_id"), ["run_id", "image_id", "variant_id"], "left_semi")
-    again = unit_table(matched)
-    speed = matched.groupBy("run_id").agg(F.coalesce(F.median("latency_ms"), F.lit(0.0)).alias("median_ms"))
+    """Runs ranked on their common units: accuracy, scene balance, fragility, drift, latency, id.
+
+    One unit table and one chain of aggregations (cases, scenes, runs); latencies
+    alone go back to the rows.
+    """
+    units = flagged_units(rows, n_runs)
+    votes, both = F.col("y") + F.col("n"), F.col("shared")
+    cases = units.groupBy("run_id", "question_id", "image_id").agg(
+        F.first("source_group").alias("source_group"), F.count_if("ready").alias("own_units"), F.count_if("right").alias("own_correct"), F.count_if(both).alias("units"),
+        F.count_if(both & F.col("right")).alias("correct"), F.count_if(both & (F.col("answer") == "yes")).alias("vy"), F.count_if(both & (F.col("answer") == "no")).alias("vn"),
+        F.sum(F.when(both, pairs(votes)).otherwise(0)).alias("again"), F.sum(F.when(both, F.col("y") * F.col("n")).otherwise(0)).alias("differ"),
+    )
+    moved = ("own_units", "own_correct", "units", "correct", "again", "differ")
+    scenes = cases.groupBy("run_id", scene().alias("scene")).agg(F.sum(pairs(F.col("vy") + F.col("vn"))).alias("prompts"), F.sum(F.col("vy") * F.col("vn")).alias("split"), *[F.sum(c).alias(c) for c in moved])
+    balanced = F.avg(F.when(F.col("units") > 0, F.col("correct") / F.col("units"))).alias("scene_balanced")
+    out = scenes.groupBy("run_id").agg(balanced, *[F.sum(c).alias(c) for c in ("prompts", "split", *moved)]).filter("units > 0")
+    matched = rows.join(units.filter("shared").select("run_id", "image_id", "variant_id"), ["run_id", "image_id", "variant_id"], "left_semi")
+    speed = grouped_quantiles(matched, ["run_id"], "latency_ms", {"median_ms": 0.5})
+    out = out.join(speed, "run_id", "left").fillna(0.0, ["median_ms"])
     low, high = wilson("correct", "units")
-    out = score.join(own, "run_id").join(speed, "run_id").join(prompt_fragility(again, "run_id").select("run_id", "pfs"), "run_id").join(repeat_drift(again, "run_id").select("run_id", "drift"), "run_id")
-    out = out.withColumns({"accuracy": share("correct", "units"), "wilson_low": low, "wilson_high": high, "own_accuracy": share("own_correct", "own_units")})
+    out = out.withColumns({"pfs": 100 * share("split", "prompts"), "drift": 100 * share("differ", "again"), "accuracy": share("correct", "units"), "wilson_low": low, "wilson_high": high, "own_accuracy": share("own_correct", "own_units")})
+    out = out.drop("prompts", "split", "again", "differ")
     order = W.orderBy(F.desc("accuracy"), F.desc("scene_balanced"), "pfs", "drift", "median_ms", "run_id")  # one row a run
     return out.withColumn("rank", F.row_number().over(order))
 

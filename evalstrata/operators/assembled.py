@@ -14,45 +14,11 @@ from pyspark.sql import Window as W
 from ..functions.stats import interpret_agreement, share
 from ..plans.units import correct, eligible, parsed
 from . import agreement, arena, audit, metrics
+from .quantiles import LATENCY, grouped_quantiles
 
 VALUES = agreement.VALUES
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str, of: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles of a numeric column by ``keys``, exact; nulls of the column and of keys are left out.
-
-    Rows are counted by value first, and the values lie in buckets 1/64 of a
-    natural logarithm wide (at most some 90,000 a key).  A running sum over a
-    key's buckets tells which ones hold the wanted ranks; only their values are
-    ranked, a bucket at a time, so no task holds all values of a key.
-    """
-    v = F.col(value).cast("double")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("bucket", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 64))
-    sizes = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("size"))
-    w = W.partitionBy(*keys)
-    sizes = sizes.withColumns({"before": F.coalesce(F.sum("size").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("size").over(w)})
-    ranks = {name: (F.col("total") - 1) * F.lit(q) for name, q in of.items()}
-
-    def inside(rank: Column) -> Column:
-        return (rank >= F.col("before")) & (rank < F.col("before") + F.col("size"))
-
-    wanted = F.lit(False)
-    for at in ranks.values():
-        wanted = wanted | inside(F.floor(at)) | inside(F.ceil(at))
-    some = counts.join(sizes.filter(wanted), [*keys, "bucket"])
-    upto = F.col("before") + F.sum("n").over(W.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    some = some.withColumn("upto", upto)
-    picks = []
-    for name, at in ranks.items():
-        low, high = F.min(F.when(F.col("upto") > F.floor(at), F.col("v"))), F.min(F.when(F.col("upto") > F.ceil(at), F.col("v")))
-        picks.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
-    return some.groupBy(*keys).agg(*picks)
-
-
-LATENCY = {"median_ms": 0.5, "p95_ms": 0.95}
-
-
 def _inputs_and_strict(rows: DataFrame) -> DataFrame:
     """Images of a run, those sent in another form, and the parsed rows that were read as strict JSON; images first, so no distinct set is held."""
     other = ~F.coalesce(F.col("input_preprocess"), F.lit("")).isin("", "original", "failed")
@@ -79,8 +45,7 @@ def arena_models(rows: DataFrame, runs: DataFrame, n_runs: int) -> DataFrame:
 
     ``runs``: id, completed, runtime_seconds.
     """
-    units = arena.arena_units(rows)
-    shared = units.join(arena.common_keys(units, n_runs), ["image_id", "variant_id"]).select("run_id", "image_id", "variant_id")
+    shared = arena.flagged_units(rows, n_runs).filter("shared").select("run_id", "image_id", "variant_id")
     decidable = rows.filter(eligible()).groupBy("run_id", "image_id", "variant_id").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.count("*").alias("decidable_units"))
     matched = rows.join(shared, ["run_id", "image_id", "variant_id"], "left_semi")
     strict = F.col("parser") == "json"
@@ -280,11 +245,6 @@ def apply_labels(labels: DataFrame, changes: DataFrame) -> DataFrame:
     return last.filter(~F.coalesce("r.withdraw", F.lit(False))).select(*[c if c in key else F.col(f"r.{c}").alias(c) for c in labels.columns])
 
 
-def model_latency(calls: DataFrame) -> DataFrame:
-    """Median and 95th percentile of each provider's settled calls, whatever their number."""
-    return grouped_quantiles(calls.filter("parser != 'error'"), ["provider_id"], "latency_ms", LATENCY)
-
-
 def arena_overview(models: DataFrame, overlap: DataFrame) -> DataFrame:
     """One row on a meeting: common and all units, their rate, the runs that alone lead in accuracy, speed and robustness, and the weakest coverage."""
     lead = {

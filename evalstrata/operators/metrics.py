@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.stats import exact_mcnemar_p, pairs, share, wilson
 from ..plans.units import correct, eligible, parsed, scene, unit_table
+from .quantiles import LATENCY, grouped_quantiles
 
 
 def _rates() -> list[Column]:
@@ -33,8 +34,9 @@ def variant_summary(rows: DataFrame) -> DataFrame:
     """Each variant's counts, accuracy with interval, balanced accuracy (null unless both classes are there) and latency (all rows)."""
     hit = [F.count_if(parsed() & (F.col("ground_truth") == c)).alias(f"of_{c}") for c in ("yes", "no")]
     hit += [F.count_if(correct() & (F.col("ground_truth") == c)).alias(f"hit_{c}") for c in ("yes", "no")]
-    latency = [F.coalesce(F.median("latency_ms"), F.lit(0.0)).alias("median_ms"), F.coalesce(F.percentile("latency_ms", F.lit(0.95)), F.lit(0.0)).alias("p95_ms")]
-    out = _with_rates(rows.groupBy("run_id", "question_id", "variant_id", "canonical", "mutation_type").agg(*_rates(), *hit, *latency))
+    out = _with_rates(rows.groupBy("run_id", "question_id", "variant_id", "canonical", "mutation_type").agg(*_rates(), *hit))
+    key = ["run_id", "question_id", "variant_id"]
+    out = out.join(grouped_quantiles(rows, key, "latency_ms", LATENCY), key, "left").fillna(0.0, list(LATENCY))
     balanced = F.when((F.col("of_yes") > 0) & (F.col("of_no") > 0), (share("hit_yes", "of_yes") + share("hit_no", "of_no")) / 2)
     return out.withColumn("balanced_accuracy", balanced).drop("of_yes", "of_no", "hit_yes", "hit_no")
 
@@ -101,8 +103,8 @@ def fragile_cases(units: DataFrame, limit: int = 100) -> DataFrame:
 
 def question_summary(rows: DataFrame) -> DataFrame:
     """Each question's variants, and the least and greatest accuracy of those with parsed rows."""
-    v = variant_summary(rows)
-    some = F.when(F.col("parsed") > 0, F.col("accuracy"))
+    v = rows.groupBy("run_id", "question_id", "variant_id").agg(F.count_if(parsed()).alias("parsed"), F.count_if(correct()).alias("correct"))
+    some = F.when(F.col("parsed") > 0, share("correct", "parsed"))
     out = v.groupBy("run_id", "question_id").agg(F.count("*").alias("variant_count"), F.coalesce(F.min(some), F.lit(0.0)).alias("min_accuracy"), F.coalesce(F.max(some), F.lit(0.0)).alias("max_accuracy"))
     return out.withColumn("spread", F.col("max_accuracy") - F.col("min_accuracy"))
 

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .quantiles import LATENCY, grouped_quantiles
+
 
 def provider_stats(calls: DataFrame) -> DataFrame:
     """Counts, rates and latencies of each provider's calls; what has no basis is null, not 0."""
     settled = F.col("parser") != "error"
     timed = F.col("completion_tokens").isNotNull() & (F.col("latency_ms") != 0)
     ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    speed = grouped_quantiles(calls.filter(settled), ["provider_id"], "latency_ms", LATENCY)
     return calls.groupBy("provider_id").agg(
         F.count("*").alias("total"), F.count_if(~settled).alias("errors"), ratio(F.count_if(~settled), F.count("*")).alias("error_rate"),
         ratio(F.count_if(settled & F.col("format_valid")), F.count_if(settled)).alias("format_rate"),
-        F.median(F.when(settled, F.col("latency_ms"))).alias("median_ms"), F.percentile(F.when(settled, F.col("latency_ms")), F.lit(0.95)).alias("p95_ms"),
         F.min(F.when(settled, F.col("latency_ms"))).alias("min_ms"), F.max(F.when(settled, F.col("latency_ms"))).alias("max_ms"),
         F.avg(F.when(settled, F.col("completion_tokens"))).alias("avg_tokens"),
         F.try_divide(F.sum(F.when(settled & timed, F.col("completion_tokens"))).cast("double"), F.sum(F.when(settled & timed, F.col("latency_ms"))) / 1000).alias("tokens_per_second"),
         F.max("created_at").alias("last_used"),
-    )
+    ).join(speed, "provider_id", "left")
 
 
 def run_throughput(runs: DataFrame) -> DataFrame:

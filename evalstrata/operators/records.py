@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .quantiles import quantiles
+
 # How many characters of a text are kept.
 KEPT = {"raw": 50_000, "error": 2000, "call_error": 1000, "message": 500}
 #: Long edges this many times the median, or this part of it, stand out; so many are listed.
@@ -94,24 +96,6 @@ def resolution_outliers(images: DataFrame) -> DataFrame:
     return out.select("id", "long_edge", "ratio").orderBy(F.desc("ratio"), "id").limit(MOST_OUTLIERS)
 
 
-def quantiles(counts: DataFrame, value: str, of: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles of a table of values with counts ``n``, in one row.
-
-    ``counts`` has a row a distinct value; a running sum gives each its ranks.
-    """
-    upto = F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy()))
-    picks = []
-    for name, q in of.items():
-        at = (F.col("total") - 1) * F.lit(q)
-        below, above = F.floor(at), F.ceil(at)
-        low = F.min(F.when(F.col("upto") > below, F.col(value)))
-        high = F.min(F.when(F.col("upto") > above, F.col(value)))
-        part = F.max(at - F.floor(at))
-        picks.append((low + (high - low) * part).alias(name))
-    return ranked.agg(*picks)
-
-
 def annotator_pairs(labels: DataFrame) -> DataFrame:
     """Every pair of annotators with the cases that both labelled (0 too) and those they agree on.
 

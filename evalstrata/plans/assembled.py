@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import arena, assembled, audit
 from ..sources.adapters import view, with_views
 from .queries import (
-    CORRECT, ELIGIBLE, N_RUNS, ORACLES, PARSED, PERF_VIEWS, RANK, RESOLVED, coef, hashed, images, labels, near, register, responses, rounded, sh,
+    CORRECT, ELIGIBLE, N_RUNS, ORACLES, PARSED, RANK, RESOLVED, coef, hashed, images, labels, near, register, responses, rounded, sh,
 )
 
-QUANTILES = "median(latency_ms) AS median_ms, quantile_cont(latency_ms, 0.95) AS p95_ms"
-
 
 @register(
     "run_summary_full",
@@ -79,11 +77,6 @@ def arena_refusals(spark: SparkSession, d: str) -> DataFrame:
     return assembled.arena_refusals(runs.join(kinds, "provider_id"), chosen)
 
 
-@register("provider_latency", f"SELECT provider_id, {QUANTILES} FROM v_calls WHERE parser <> 'error' AND latency_ms IS NOT NULL GROUP BY 1".replace("median(latency_ms)", "round(median(latency_ms), 6)").replace("quantile_cont(latency_ms, 0.95)", "round(quantile_cont(latency_ms, 0.95), 6)"), "v_calls")
-def provider_latency(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(assembled.model_latency(view(spark, d, "v_calls")))
-
-
 @register("question_intervals")
 def question_intervals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(assembled.question_intervals(labels(spark, d)))

@@ -1,10 +1,7 @@
-"""Reading and writing the evaluation's files: tables, image folders, ground truth, ledger exports, bundles."""
+"""Reading the evaluation's files: tables, image folders, ground truth."""
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,20 +95,3 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     cases = spark.read.option("multiLine", "true").schema("cases array<map<string,string>>").json(path).select(F.explode("cases").alias("c"))
     long = cases.select(F.col("c")["file"].alias("file"), F.explode("c").alias("question", "value"))
     return long.filter("question != 'file'")
-
-
-def write_ledger(runs: DataFrame, path: str) -> None:
-    """The ledger as CSV with a header, runtimes rounded to one place."""
-    runs.withColumn("runtime_seconds", F.round("runtime_seconds", 1)).write.option("header", "true").option("escape", '"').csv(path)
-
-
-def bundle(summary: dict, config: dict) -> bytes:
-    """A zip of a run's manifest, settings and report, for one run's summary row (a dict); no pixels, no endpoint."""
-    lines = [f"{k}: {json.dumps(v)}" for k, v in sorted(config.items()) if k != "endpoint"]
-    report = ["# Run report", "", "| measure | value |", "|-|-|", *[f"| {k} | {v} |" for k, v in summary.items()]]
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("manifest.json", json.dumps({"summary": summary, "files": ["eval.yaml", "report.md"]}, sort_keys=True, default=str))
-        z.writestr("eval.yaml", "\n".join(lines) + "\n")
-        z.writestr("report.md", "\n".join(report) + "\n")
-    return out.getvalue()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalstrata.operators import agreement, arena, assembled
+from evalstrata.operators import agreement, arena, assembled, quantiles
 
 
 def test_grouped_quantiles_equal_numpy_on_any_spread(spark):
@@ -14,13 +14,13 @@ def test_grouped_quantiles_equal_numpy_on_any_spread(spark):
     values = {1: [rng.lognormvariate(5, 3) for _ in range(400)], 2: [7.0] * 50, 3: [-3.5, 2.0], 4: [0.0], 5: [rng.uniform(-1, 1) for _ in range(101)] + [1e12, -1e12], 6: [100 + i / 1e6 for i in range(300)]}
     rows = [(k, v) for k, vs in values.items() for v in vs] + [(1, None), (7, None)]
     of = {"least": 0.0, "median": 0.5, "p95": 0.95, "most": 1.0}
-    got = {r.k: r for r in assembled.grouped_quantiles(spark.createDataFrame(rows, "k long, x double").repartition(5), ["k"], "x", of).collect()}
+    got = {r.k: r for r in quantiles.grouped_quantiles(spark.createDataFrame(rows, "k long, x double").repartition(5), ["k"], "x", of).collect()}
     assert set(got) == set(values)
     for k, vs in values.items():
         for name, q in of.items():
             assert got[k][name] == pytest.approx(float(np.percentile(vs, 100 * q)), rel=1e-12, abs=1e-12)
     empty = spark.createDataFrame([], "k long, x double")
-    assert assembled.grouped_quantiles(empty, ["k"], "x", of).count() == 0
+    assert quantiles.grouped_quantiles(empty, ["k"], "x", of).count() == 0
 
 
 def _labels(spark, rows):

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import csv
 import io
 import json
 import zipfile
 
 from pyspark.sql import functions as F
 
-from evalstrata.sources import readers
+from evalstrata.sources import readers, reports
 from evalstrata.streaming import live
 
 
@@ -35,13 +36,41 @@ def test_import_statuses(spark, tmp_path):
     assert got == {"a.png": "imported", "b.PNG": "duplicate", "c.jpg": "rejected", "d.jpeg": "restored", "f.png": "imported"}
 
 
-def test_ground_truth_ledger_and_bundle(spark, tmp_path):
+def test_ground_truth_and_ledger(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"cases": [{"file": "1.png", "light": "yes", "night": "no"}]}))
     assert {tuple(r) for r in readers.ground_truth(spark, str(tmp_path / "t.json")).collect()} == {("1.png", "light", "yes"), ("1.png", "night", "no")}
-    readers.write_ledger(spark.createDataFrame([(1, 'a "b"', 1.26)], "id long, name string, runtime_seconds double"), str(tmp_path / "csv"))
-    assert spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv")).first().asDict() == {"id": "1", "name": 'a "b"', "runtime_seconds": "1.3"}
-    z = zipfile.ZipFile(io.BytesIO(readers.bundle({"pfs": 50.0}, {"seed": 1, "endpoint": "secret"})))
-    assert sorted(z.namelist()) == ["eval.yaml", "manifest.json", "report.md"] and b"secret" not in z.read("eval.yaml")
+    schema = "id long, name string, project string, provider string, model string, is_demo boolean, status string, archived_at double, completed long, total long, created_at double, started_at double, finished_at double, runtime_seconds double, error string"
+    rows = [(1, 'a "b"', "p", "x", "m", True, "completed", None, 2, 2, 10.0, 0.0, None, 1.26, None), (2, "città, due", "p", "x", "m", False, "failed", 5.0, 0, 2, 86400.0, 86400.0, 86401.0, None, "lost")]
+    runs = spark.createDataFrame(rows, schema)
+    reports.write_ledger(runs, str(tmp_path / "csv"))
+    got = {r.id: r for r in spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv")).collect()}
+    assert got["1"].asDict() | {"error": None} == got["1"].asDict() and (got["1"].name, got["1"].runtime_s, got["1"].demo, got["1"].archived) == ('a "b"', "1.3", "yes", "no")
+    assert tuple(got["1"].asDict()) == reports.LEDGER and got["2"].created == "1970-01-02 00:00:00"
+    text = reports.ledger_csv(runs)
+    lines = list(csv.reader(io.StringIO(text.decode("utf-8-sig"))))
+    assert text.startswith(b"\xef\xbb\xbf") and tuple(lines[0]) == reports.LEDGER
+    assert [x[0] for x in lines[1:]] == ["2", "1"] and lines[1][1] == "città, due" and lines[1][13:] == ["0.0", "lost"] and lines[2][11:13] == ["", ""]
+
+
+def test_reports_and_bundle(spark):
+    view_rows = [(1, 1, i, 10 + v, v == 0, "canonical" if v == 0 else "x|y", "yes" if (i + v) % 3 else "no", "yes" if i % 2 else "no", True, "json" if i % 4 else "word", 20.0 * i, "", "single", 1, "proxy" if i == 1 else "", r) for i in range(8) for v in range(2) for r in range(2)]
+    schema = "run_id long, question_id long, image_id long, variant_id long, canonical boolean, mutation_type string, answer string, ground_truth string, format_valid boolean, parser string, latency_ms double, source_group string, gt_agreement string, gt_labels long, input_preprocess string, repetition long"
+    rows = spark.createDataFrame(view_rows, schema)
+    labels = spark.createDataFrame([(i, 1, a, "yes" if i % 2 else "no", False, 1.0, "") for i in range(6) for a in ("ann", "b<b>")], "image_id long, question_id long, annotator string, value string, is_adjudication boolean, updated_at double, note string")
+    run = {"id": 1, "name": "a </script> | b", "endpoint": "http://secret", "is_demo": True, "config": {"seed": 7, "question_ids": [1], "timeout": 5}}
+    report = reports.run_report(rows, run, labels)
+    assert report["summary"]["samples"] == 32 and report["summary"]["normalised_inputs"] == 1 and len(report["variants"]) == 2 and report["agreement"][0]["alpha"] == 1.0
+    page, text = reports.html(report, "f00d"), reports.markdown(report, "f00d")
+    assert page.count("</script>") == 1 and "secret" not in page + text and "b&lt;b&gt;" in page and "x\\|y" in text and "# a </script> \\| b" in text and reports.DEMO in text
+    data = json.loads(page.split('id="data">')[1].split("</script>")[0])
+    assert data["run"]["name"] == run["name"] and data["fingerprint"] == "f00d"
+    z = zipfile.ZipFile(io.BytesIO(reports.bundle(report, "f00d", labels=[{"annotator": "ann", "stored_path": "/x"}])))
+    assert sorted(z.namelist()) == ["README.txt", "eval.yaml", "manifest.json", "report.html", "report.md"] and not any(b"secret" in z.read(n) for n in z.namelist())
+    assert json.loads(z.read("manifest.json"))["labels"] == [{"annotator": "ann"}]
+    settings = dict(line.split(": ", 1) for line in z.read("eval.yaml").decode().splitlines())
+    assert settings["seed"] == "7" and settings["repetitions"] == "1" and "timeout" not in settings
+    empty = reports.run_report(rows.limit(0), run)
+    assert empty["summary"] == {} and "Nothing to show." in reports.markdown(empty, "") and "Nothing to show." in reports.html(empty, "")
 
 
 def test_streams(spark, tmp_path):
