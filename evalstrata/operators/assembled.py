@@ -32,12 +32,14 @@ def run_summary_full(rows: DataFrame) -> DataFrame:
     """Everything a report says of a run, in one row: rates, latency, inputs, baseline, provenance, strict reading, fragility, drift and the evidence grade."""
     base = metrics.majority_baseline(rows).select("run_id", F.col("truth").alias("majority_answer"), F.col("baseline").alias("majority_baseline"), F.col("cases").alias("ground_truth_cases"))
     seen = metrics.provenance(rows).select("run_id", F.col("cases").alias("annotated_cases"), F.col("verified").alias("verified_cases"), "verified_share", F.col("single").alias("single_annotator_cases"), F.col("adjudicated").alias("adjudicated_cases"), F.col("conflict").alias("conflict_cases"))
-    grade = metrics.evidence_gate(rows).select("run_id", "grade", "passed")
-    out = metrics.run_summary(rows).join(_inputs_and_strict(rows), "run_id").join(grade, "run_id")
+    out = metrics.run_summary(rows).join(_inputs_and_strict(rows), "run_id").join(metrics.mutation_ready(rows), "run_id")
     for other in (grouped_quantiles(rows, ["run_id"], "latency_ms", LATENCY), base, seen):
         out = out.join(other, "run_id", "left")
     counts = ["ground_truth_cases", "annotated_cases", "verified_cases", "single_annotator_cases", "adjudicated_cases", "conflict_cases"]
-    return out.fillna(0, counts).fillna(0.0, ["median_ms", "p95_ms", "majority_baseline", "verified_share", "scene_balanced_accuracy"]).fillna({"majority_answer": ""})
+    out = out.fillna(0, counts).fillna(0.0, ["median_ms", "p95_ms", "majority_baseline", "verified_share"]).fillna({"majority_answer": ""})
+    gate = {"cases": F.col("ground_truth_cases"), "groups": F.coalesce("independent_groups", F.lit(0)), "comparisons": F.col("comparable_pairs"), "baseline": F.col("majority_baseline")}
+    keep = [*out.drop("mutation_ready").columns, "grade", "passed"]
+    return metrics.graded(out.withColumns(gate)).select(*keep).fillna(0.0, ["scene_balanced_accuracy"])
 
 
 def arena_models(rows: DataFrame, runs: DataFrame, n_runs: int) -> DataFrame:

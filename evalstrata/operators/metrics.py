@@ -155,13 +155,22 @@ def gate_inputs(rows: DataFrame) -> DataFrame:
     """One row a run with all that the gate looks at."""
     s = run_summary(rows).select("run_id", "coverage", "format_rate", F.coalesce("independent_groups", F.lit(0)).alias("groups"), F.col("comparable_pairs").alias("comparisons"))
     cases = majority_baseline(rows).select("run_id", "cases", "baseline")
-    sizes = question_summary(rows).groupBy("run_id").agg((F.min("variant_count") >= 2).alias("mutation_ready"))
     seen = provenance(rows).select("run_id", "verified_share")
-    return s.join(cases, "run_id", "left").join(sizes, "run_id").join(seen, "run_id", "left").na.fill({"cases": 0, "baseline": 0.0, "verified_share": 0.0})
+    return s.join(cases, "run_id", "left").join(mutation_ready(rows), "run_id").join(seen, "run_id", "left").na.fill({"cases": 0, "baseline": 0.0, "verified_share": 0.0})
+
+
+def mutation_ready(rows: DataFrame) -> DataFrame:
+    """Whether each question of a run has two variants or more."""
+    return question_summary(rows).groupBy("run_id").agg((F.min("variant_count") >= 2).alias("mutation_ready"))
 
 
 def evidence_gate(rows: DataFrame) -> DataFrame:
     """The grade of a run's evidence (A, B, C or E) and how many of the eight checks pass."""
+    return graded(gate_inputs(rows))
+
+
+def graded(inputs: DataFrame) -> DataFrame:
+    """``inputs`` (the columns of ``gate_inputs``, and any others) with the grade, the number of checks that pass, and each check."""
     checks = {
         "cases": F.col("cases") >= GATE["cases"], "groups": F.col("groups") >= GATE["groups"], "mutations": F.col("mutation_ready"),
         "coverage": F.col("coverage") >= GATE["coverage"], "format": F.col("format_rate") >= GATE["format"],
@@ -172,7 +181,7 @@ def evidence_gate(rows: DataFrame) -> DataFrame:
     reviewable = basic & checks["cases"] & checks["groups"] & (F.col("baseline") <= 0.85)
     grade = F.when(strong, "A").when(reviewable, "B").when((F.col("cases") > 0) & (F.col("comparisons") > 0), "C").otherwise("E")
     passed = sum((c.cast("long") for c in checks.values()), F.lit(0).cast("long"))
-    return gate_inputs(rows).withColumns({"grade": grade, "passed": passed, **{f"check_{k}": c for k, c in checks.items()}})
+    return inputs.withColumns({"grade": grade, "passed": passed, **{f"check_{k}": c for k, c in checks.items()}})
 
 
 def normalised_inputs(rows: DataFrame) -> DataFrame:

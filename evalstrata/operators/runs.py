@@ -50,9 +50,13 @@ def clamp_config(repetitions: Column, temperature: Column, max_tokens: Column, t
 
 
 def resolve_variants(variants: DataFrame, questions: list[int], requested: list[int] | None = None) -> DataFrame:
-    """Variants of the chosen questions, only the requested ones where any are."""
+    """Variants of the chosen questions, only the requested ones where any are; refuses a choice without variants."""
     out = variants.filter(F.col("question_id").isin(questions))
-    return out.filter(F.col("variant_id").isin(requested)) if requested else out
+    if requested:
+        out = out.filter(F.col("variant_id").isin(requested))
+    if out.isEmpty():
+        raise ValueError("no variant of the chosen questions is left")
+    return out
 
 
 # Which status may follow which.

@@ -76,11 +76,14 @@ def with_dimensions(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "path string, extension string, length long, sha256 string, width long, height long")
 
 
-def import_report(files: DataFrame, known: DataFrame) -> DataFrame:
+def import_report(files: DataFrame, known: DataFrame, most: int | None = None) -> DataFrame:
     """path, sha256 and status of each file against the known images (sha256, deleted_at): rejected, duplicate, restored or imported.
 
-    Of new files with one content the first by path is imported.
+    Of new files with one content the first by path is imported.  ``most``
+    refuses larger imports (MOST_FILES for one made by hand); none by default.
     """
+    if most is not None and files.select("path").limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} files in one import")
     sized = with_dimensions(files)
     fits = (F.col("length") > 0) & (F.col("length") <= MOST_BYTES) & F.col("width").isNotNull() & (F.col("width") * F.col("height") <= MOST_PIXELS)
     first = sized.filter(fits).groupBy("sha256").agg(F.min("path").alias("first"))
@@ -90,6 +93,11 @@ def import_report(files: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("path", "sha256", "width", "height", status.alias("status"))
 
 
+def import_counts(report: DataFrame) -> DataFrame:
+    """How many files of an ``import_report`` were imported, restored, duplicate or rejected, in one row."""
+    return report.agg(F.count("*").alias("files"), *[F.count_if(F.col("status") == s).alias(s) for s in ("imported", "restored", "duplicate", "rejected")])
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """file, question and value of a ground-truth JSON ({"cases": [{"file", one field a question}]})."""
     cases = spark.read.option("multiLine", "true").schema("cases array<map<string,string>>").json(path).select(F.explode("cases").alias("c"))

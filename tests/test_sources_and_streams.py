@@ -5,8 +5,10 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from evalstrata.operators import runs
 from evalstrata.sources import readers, reports
 from evalstrata.streaming import live
 
@@ -34,6 +36,10 @@ def test_import_statuses(spark, tmp_path):
     old = spark.createDataFrame([(hashlib.sha256(jpeg(5, 5)).hexdigest(), 1.0)], "sha256 string, deleted_at double")
     got = {r.path.rsplit("/", 1)[1]: r.status for r in readers.import_report(files, old).collect()}
     assert got == {"a.png": "imported", "b.PNG": "duplicate", "c.jpg": "rejected", "d.jpeg": "restored", "f.png": "imported"}
+    counts = readers.import_counts(readers.import_report(files, old, most=5)).first()
+    assert counts.asDict() == {"files": 5, "imported": 2, "restored": 1, "duplicate": 1, "rejected": 1}
+    with pytest.raises(ValueError, match="more than 4 files"):
+        readers.import_report(files, old, most=4)
 
 
 def test_ground_truth_and_ledger(spark, tmp_path):
@@ -89,6 +95,15 @@ def test_streams(spark, tmp_path):
     assert [r.repetition for r in live.resume(pending, spark.createDataFrame(rows, schema)).collect()] == [5]
 
 
+def test_a_choice_of_variants_must_leave_some(spark):
+    variants = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "question_id long, variant_id long")
+    chosen = lambda *a: sorted(r.variant_id for r in runs.resolve_variants(variants, *a).collect())
+    assert chosen([1]) == [10, 11] and chosen([1, 2], [11, 20]) == [11, 20]
+    for none in (([3],), ([1], [20])):
+        with pytest.raises(ValueError, match="no variant"):
+            runs.resolve_variants(variants, *none)
+
+
 def test_windows_and_changed_consensus(spark):
     calls = spark.createDataFrame([(1, "json", 10.0, "2024-01-01 00:01:00"), (1, "error", None, "2024-01-01 00:02:00"), (1, "json", 30.0, "2024-01-01 00:12:00")], "provider_id long, parser string, latency_ms double, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r.total for r in live.provider_windows(calls).collect()) == [1, 2]
