@@ -65,14 +65,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(line - self.thresholds, -30, 30)))
 
 
-def likelihood(row: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, params: np.ndarray, slots: int) -> tuple[float, np.ndarray]:
-    """Mean log-likelihood of the grades ``y`` less the ridge, and its gradient.
-
-    ``params``: weights, the first threshold and the logs of the gaps between
-    thresholds, which keeps them ordered.
-    """
-    w, g = params[:slots], params[slots:]
-    t = g[0] + np.r_[0.0, np.cumsum(np.exp(g[1:]))]
+def _sums(row: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of the grades ``y``, summed, and its gradient in the weights and in the thresholds."""
     line = np.bincount(row, value * w[index], len(y))
     up = 1 / (1 + np.exp(-np.clip(line[:, None] - t[None, :], -30, 30)))
     # P(y) is the difference of neighbouring tails; its log's gradient in each tail's argument.
@@ -82,32 +76,74 @@ def likelihood(row: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndar
     d = np.zeros_like(up)
     for k in range(up.shape[1]):
         d[:, k] = np.where(y == k + 1, slope[:, k] / p, np.where(y == k, -slope[:, k] / p, 0.0))
-    d_t = -d.sum(0)
+    return float(np.log(p).sum()), np.bincount(index, value * d.sum(1)[row], len(w)), -d.sum(0)
+
+
+def _whole(total: float, d_w: np.ndarray, d_t: np.ndarray, n: int, params: np.ndarray, slots: int) -> tuple[float, np.ndarray]:
+    """Mean log-likelihood less the ridge and its gradient in ``params``, from sums over ``n`` rows."""
+    w, g = params[:slots], params[slots:]
     d_gap = np.r_[d_t.sum(), np.exp(g[1:]) * np.cumsum(d_t[::-1])[::-1][1:]]
-    grad = np.r_[np.bincount(index, value * d.sum(1)[row], slots) / len(y) - RIDGE * w, d_gap / len(y)]
-    return float(np.log(p).mean() - RIDGE * (w @ w) / 2), grad
+    return total / n - RIDGE * (w @ w) / 2, np.r_[d_w / n - RIDGE * w, d_gap / n]
+
+
+def _thresholds(g: np.ndarray) -> np.ndarray:
+    """Ascending thresholds of the first one and the logs of the gaps."""
+    return g[0] + np.r_[0.0, np.cumsum(np.exp(g[1:]))]
+
+
+def likelihood(row: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, params: np.ndarray, slots: int) -> tuple[float, np.ndarray]:
+    """Mean log-likelihood of the grades ``y`` less the ridge, and its gradient.
+
+    ``params``: weights, the first threshold and the logs of the gaps between
+    thresholds, which keeps them ordered.
+    """
+    return _whole(*_sums(row, index, value, y, params[:slots], _thresholds(params[slots:])), len(y), params, slots)
+
+
+#: Slots, about, that a step of the fit takes at a time.
+BLOCK = 1 << 17
 
 
 def fit(features: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray, slots: int = SLOTS) -> OrdinalModel:
     """Maximum likelihood with a ridge, by Adam on the whole sample; grades are the ratings that occur, features those of ``features_of``."""
+    kind = np.min_scalar_type(slots)
+    index, value = (np.concatenate([x[i] if i else x[i].astype(kind) for x in features] or [np.zeros(0)]) for i in (0, 1))
+    return _fit(index, value, np.array([len(x[0]) for x in features], int), ratings, slots)
+
+
+def _fit(index: np.ndarray, value: np.ndarray, lengths: np.ndarray, ratings: np.ndarray, slots: int) -> OrdinalModel:
+    """``fit`` on features one after another, ``lengths`` of them a row.
+
+    They stay as they are, in small types: the sample is read in blocks of rows,
+    and the features' scales divide the weights instead of the values.
+    """
     grades, y = np.unique(ratings, return_inverse=True)
     if len(grades) < 2:
         return OrdinalModel(tuple(int(g) for g in grades) or (0,), np.zeros(slots), np.zeros(0))
-    index, value = (np.concatenate([x[i] for x in features]) for i in (0, 1))
-    row = np.repeat(np.arange(len(y)), [len(x[0]) for x in features])
-    scale = np.sqrt(np.bincount(index, value**2, slots) / len(y)) + LEAST_SCALE
-    value = value / scale[index]
+    ends = np.r_[0, np.cumsum(lengths)]
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK)), len(y)])
+
+    def blocks():
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = slice(ends[a], ends[b])
+            yield np.repeat(np.arange(b - a), lengths[a:b]), index[part].astype(np.intp), value[part], y[a:b]
+
+    scale = np.sqrt(sum(np.bincount(i, v.astype(float) ** 2, slots) for _, i, v, _ in blocks()) / len(y)) + LEAST_SCALE
     share = np.array([(y > k).mean() for k in range(len(grades) - 1)])
     theta = -np.log(share / (1 - share))  # thresholds at w = 0
     gaps = np.r_[theta[0], np.log(np.maximum(np.diff(theta), 1e-3))]
     params = np.concatenate([np.zeros(slots), gaps])
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
-        grad = likelihood(row, index, value, y, params, slots)[1]
+        w, t = params[:slots] / scale, _thresholds(params[slots:])
+        total, d_w, d_t = 0.0, np.zeros(slots), np.zeros(len(t))
+        for block in blocks():
+            some = _sums(*block, w, t)
+            total, d_w, d_t = total + some[0], d_w + some[1], d_t + some[2]
+        grad = _whole(total, d_w / scale, d_t, len(y), params, slots)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) / np.sqrt(step)
-    g = params[slots:]
-    return OrdinalModel(tuple(int(x) for x in grades), params[:slots] / scale, g[0] + np.r_[0.0, np.cumsum(np.exp(g[1:]))])
+    return OrdinalModel(tuple(int(x) for x in grades), params[:slots] / scale, _thresholds(params[slots:]))
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", rating_col: str = "quality", fit_rows: int = FIT_ROWS) -> OrdinalModel:
@@ -125,11 +161,17 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         found = [features_of(x) for x in frames.blobs(batch["data"])]
         ends = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
         index, value = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        return {"doc_id": batch["doc_id"], "rating": batch["rating"], "at": pa.ListArray.from_arrays(ends, pa.array(index.astype(np.int32))), "value": pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))}
+        return {"doc_id": batch["doc_id"], "rating": batch["rating"], "at": pa.ListArray.from_arrays(ends, pa.array(index.astype(np.int16))), "value": pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))}
 
     sample = frames.with_texts(frames.documents(docs, id_col, text_col), rated).select("doc_id", "rating", "data")
-    sample = frames.columns(sample, "doc_id long, rating int, at array<int>, value array<float>", step).toPandas().sort_values(["doc_id", "rating"])
-    return fit([(np.asarray(a, np.intp), np.asarray(x, float)) for a, x in zip(sample["at"], sample["value"], strict=True)], sample["rating"].to_numpy(int))
+    sample = frames.columns(sample, "doc_id long, rating int, at array<short>, value array<float>", step).toArrow()
+    sample = sample.sort_by([("doc_id", "ascending"), ("rating", "ascending")]).combine_chunks()
+    at, value = (pa.concat_arrays(sample[c].chunks) if sample.num_rows else pa.array([], sample[c].type) for c in ("at", "value"))
+    lengths = at.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    model = _fit(at.flatten().to_numpy(), value.flatten().to_numpy(), lengths, sample["rating"].to_numpy(), SLOTS)
+    del sample, at, value
+    frames.hand_back()
+    return model
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", least: int | None = None, tail: float = 0.5) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -393,6 +394,24 @@ def test_ordinal_likelihood_and_gradient_equal_brute_force():
         assert abs(grad[k] - (brute(params + e) - brute(params - e)) / 2e-5) < 1e-6
 
 
+def test_the_fit_holds_little_beside_its_sample(monkeypatch):
+    """The driver of the pipeline went over its memory in the fit: nothing as long as the sample but the packed sample itself."""
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(8190, n, replace=False)), rng.random(n) / 500) for n in [0, 1, *rng.integers(200, 1500, 1500), 0]]
+    rows, grade = [(a, v.astype(np.float32)) for a, v in rows], rng.integers(0, 3, len(rows))
+    monkeypatch.setattr(quality_classifier, "STEPS", 3)
+    tracemalloc.start()
+    try:
+        model = quality_classifier.fit(rows, grade)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 20 * sum(len(a) for a, _ in rows)
+    monkeypatch.setattr(quality_classifier, "BLOCK", 1 << 40)
+    whole = quality_classifier.fit(rows, grade)
+    assert np.allclose(whole.weights, model.weights, rtol=1e-9, atol=1e-9) and np.allclose(whole.thresholds, model.thresholds)
+
+
 def test_quality_query_equals_a_dictionary_version(spark):
     """Grades of the whole table from its model's weights, spelled out row by row."""
     docs, labels = labelled(200, "!!!")
