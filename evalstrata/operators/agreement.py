@@ -5,10 +5,13 @@ Coefficients come from counts by (unit, value); no pair of labels is listed.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import draws as draw
 from ..functions.stats import interpret_agreement, pairs, share
 
 VALUES = ("yes", "no", "uncertain", "exclude")
@@ -140,29 +143,97 @@ def _draw(slot: Column, rep: Column, n: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % n).cast("long")
 
 
-def alpha_bootstrap(labels: DataFrame, draws: int = 100, seed: int = 20260825) -> DataFrame:
-    """An interval of alpha by resampling cases, with hashed draws: the same on any engine and partitioning.
+#: Units whose kinds are sent to every task (two bytes each or one), and kinds of units that are told apart there.
+MOST_PACKED, MOST_KINDS = 50_000_000, 1 << 16
+#: Slots and draws that one task takes.
+SPAN, SHARE = 5 * draw.STRIDE, 50
 
-    Null under four units or where fewer than half of the draws are defined.
-    Units are numbered in order of (question, image); a draw is a count of how
-    often each unit is taken, so units are joined once a draw slot.
-    """
+
+def _kinds(u: DataFrame, most: int) -> tuple[int, np.ndarray | None]:
+    """The number of units, and a row (n, squares, count of each value) for each kind of unit; none if there are more than ``most`` kinds."""
+    names = ["n", "squares", *VALUES]
+    each = u.groupBy(*names).agg(F.count("*").alias("units"))
+    found = each.limit(most + 1).toArrow()
+    if found.num_rows > most:
+        return u.count(), None
+    table = np.array([found[c].to_numpy() for c in names], np.int64).T.reshape(-1, len(names))
+    return int(found["units"].to_numpy().sum()), table[np.lexsort(table.T[::-1])]
+
+
+def _packed(u: DataFrame, kinds: np.ndarray) -> np.ndarray:
+    """The kind of each unit, in order of (question, image)."""
+    names, small = ["n", "squares", *VALUES], np.min_scalar_type(max(1, len(kinds)) - 1)
+    known = u.sparkSession.createDataFrame(pa.table({**{c: kinds[:, i] for i, c in enumerate(names)}, "kind": np.arange(len(kinds))}))
+    ordered = u.join(F.broadcast(known), names).select("question_id", "image_id", "kind").orderBy("question_id", "image_id").select("kind")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"kinds": pa.array([batch["kind"].to_numpy().astype(small).tobytes()], pa.binary())})
+
+    return np.frombuffer(b"".join(x.as_py() for x in ordered.mapInArrow(run, "kinds binary").toArrow()["kinds"]), small)
+
+
+def _measures(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each kind of unit its observed disagreement, and n with the count of each value."""
+    n, squares = kinds[:, 0].astype(float), kinds[:, 1]
+    return (n * n - squares) / (n - 1), kinds[:, [0, *range(2, 2 + len(VALUES))]]
+
+
+def _drawn_from_kinds(u: DataFrame, units: int, kinds: np.ndarray, draws: int, seed: int) -> DataFrame:
+    """rep and the sums of what it draws, in tasks that hash a span of slots for some repetitions and look the units' kinds up; no row a draw."""
+    held = u.sparkSession.sparkContext.broadcast((_packed(u, kinds), kinds))
+    span = max(SPAN, -(-units // 256))
+    spans, shares = -(-units // span), -(-draws // SHARE)
+
+    def run(batches):
+        where, table = held.value
+        d_o, counts = _measures(table)
+        for batch in batches:
+            for task in batch["id"].to_pylist():
+                at, first = task % spans * span, task // spans * SHARE
+                reps = range(first, min(first + SHARE, draws))
+                seen = np.zeros((len(reps), len(table)), np.int64)
+                for rep, positions in draw.hashed(seed, reps, at, min(at + span, units), units):
+                    seen[rep - first] += np.bincount(where[positions], minlength=len(table))
+                sums = seen @ counts
+                yield pa.RecordBatch.from_pydict({"rep": np.array(reps), "d_o": seen @ d_o, "total": sums[:, 0], **{f"m_{v}": sums[:, 1 + i] for i, v in enumerate(VALUES)}})
+
+    schema = "rep long, d_o double, total long, " + ", ".join(f"m_{v} long" for v in VALUES)
+    each = u.sparkSession.range(0, spans * shares, 1, max(1, spans * shares)).mapInArrow(run, schema)
+    return each.groupBy("rep").agg(F.sum("d_o").alias("d_o"), *[F.sum(c).cast("double").alias(c) for c in ("total", *[f"m_{v}" for v in VALUES])])
+
+
+def _drawn_by_joins(u: DataFrame, total: DataFrame, draws: int, seed: int) -> DataFrame:
+    """The same where there are too many units or kinds to send to all tasks: units are joined once a draw slot."""
     # The rank of a unit: within a range partition, plus what came before it.
-    u = unit_values(labels).select("question_id", "image_id", "n", "squares", *VALUES)
     ordered = u.repartitionByRange("question_id", "image_id").withColumn("part", F.spark_partition_id())
     ordered = ordered.withColumn("within", F.row_number().over(W.partitionBy("part").orderBy("question_id", "image_id")))
     before = ordered.groupBy("part").agg(F.count("*").alias("size"))
     before = before.withColumn("before", F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))  # one row a partition
     units = ordered.join(F.broadcast(before), "part").withColumn("pos", F.col("within") - 1 + F.coalesce("before", F.lit(0)))
-    total = u.agg(F.count("*").alias("units"))
     slots = units.select(F.col("pos").alias("slot")).crossJoin(F.broadcast(total))  # one row
     picked = slots.select("slot", "units", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep"))
     taken = picked.groupBy("rep", _draw(F.col("slot"), F.col("rep"), F.col("units"), seed).alias("pos")).agg(F.count("*").alias("times"))
     n = F.col("n").cast("double")
-    drawn = taken.join(units, "pos").groupBy("rep").agg(
+    return taken.join(units, "pos").groupBy("rep").agg(
         F.sum(F.col("times") * (n * n - F.col("squares")) / (n - 1)).alias("d_o"), F.sum(F.col("times") * F.col("n")).cast("double").alias("total"),
         *[F.sum(F.col("times") * F.col(v)).cast("double").alias(f"m_{v}") for v in VALUES],
     )
+
+
+def alpha_bootstrap(labels: DataFrame, draws: int = 100, seed: int = 20260825) -> DataFrame:
+    """An interval of alpha by resampling cases, with hashed draws: the same on any engine and partitioning.
+
+    Null under four units or where fewer than half of the draws are defined.
+    Units are numbered in order of (question, image).  Alpha depends only on how
+    often each kind of unit (its counts of the values) is drawn, so the kinds by
+    number are collected and sent to the tasks; beyond MOST_PACKED units or
+    MOST_KINDS kinds the draws are joined with the units instead.
+    """
+    u = unit_values(labels).select("question_id", "image_id", "n", "squares", *VALUES)
+    units, kinds = _kinds(u, MOST_KINDS)
+    total = labels.sparkSession.range(1).select(F.lit(units).cast("long").alias("units"))
+    drawn = _drawn_by_joins(u, total, draws, seed) if kinds is None or units > MOST_PACKED else _drawn_from_kinds(u, units, kinds, draws, seed)
     squares = sum((F.col(f"m_{v}") * F.col(f"m_{v}") for v in VALUES[1:]), F.col(f"m_{VALUES[0]}") * F.col(f"m_{VALUES[0]}"))
     d_e = (F.col("total") * F.col("total") - squares) / (F.col("total") - 1)
     each = drawn.select(F.when(d_e > 0, F.lit(1.0) - F.col("d_o") / d_e).alias("alpha"))

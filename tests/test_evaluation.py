@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from evalstrata.functions import stats, text
+from evalstrata.functions import draws, stats, text
 from evalstrata.operators import agreement, arena, audit, diagnostics, metrics, performance, runs
 from evalstrata.plans import queries
 from evalstrata.plans.units import unit_table
@@ -223,6 +224,34 @@ def test_sequential_bootstrap(spark):
     assert agreement.alpha_bootstrap_python(df.filter("image_id < 3"), 60).first().low is None
 
 
+def _many_labels(spark, units):
+    """Two or three labels a unit, some adjudications, images not in order of their rows."""
+    df = spark.range(units).select(((F.col("id") * 7919) % units).alias("image_id"), (F.col("id") % 3).alias("question_id"), F.explode(F.array(*map(F.lit, "abc"))).alias("annotator"))
+    kind = F.hash("image_id", "annotator") % 5
+    df = df.filter("annotator != 'c' or image_id % 2 = 0").withColumn("value", F.when(kind < 0, "yes").when(kind < 2, "no").when(kind < 3, "uncertain").otherwise("exclude"))
+    return df.withColumns({"is_adjudication": (F.col("annotator") == "c") & (F.col("image_id") % 7 == 0), "updated_at": F.lit(0.0), "note": F.lit("")})
+
+
+def test_hashed_draws_equal_md5_one_by_one():
+    for seed, reps, a, b, n in ((20260825, range(8, 12), 0, 1205, 1205), (20260825, range(99, 102), 99_990, 100_020, 147_236), (-3, range(1000, 1002), 999, 1001, 17), (10**60, range(2), 0, 12, 99), (1, range(799, 800), 10**10 - 9, 10**10 + 9, 10**10 + 9)):
+        got = {r: [] for r in reps}
+        for r, x in draws.hashed(seed, reps, a, b, n):
+            got[r] += x.tolist()
+        assert got == {r: [int(hashlib.md5(f"{seed}|{r}|{i}".encode()).hexdigest()[:15], 16) % n for i in range(a, b)] for r in reps}
+
+
+def test_hash_bootstrap_makes_no_row_a_draw(spark, monkeypatch):
+    df = _many_labels(spark, 3000)
+    monkeypatch.setattr(agreement, "SPAN", 700)
+    fast = agreement.alpha_bootstrap(df, 120)
+    plan = fast._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Window" not in plan  # draws are neither listed nor joined
+    a = fast.first()
+    monkeypatch.setattr(agreement, "MOST_PACKED", 0)
+    b = agreement.alpha_bootstrap(df.repartition(5), 120).first()
+    assert (a.units, a.defined) == (b.units, b.defined) == (3000, 120) and a.low == pytest.approx(b.low, abs=1e-12) and a.high == pytest.approx(b.high, abs=1e-12)
+
+
 def test_registered_bootstraps_take_800_draws(spark, monkeypatch):
     data = [label(i, w, "yes" if (i + k) % 3 else "no") for i in range(12) for k, w in enumerate("ab")]
     monkeypatch.setattr(queries, "labels", lambda spark, d: spark.createDataFrame(data, LABEL))
