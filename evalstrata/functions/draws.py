@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,3 +90,16 @@ def hashed(seed: int, reps: range, start: int, stop: int, n: int) -> Iterator[tu
                     ready[len(prefix)] = _words(a, b, len(prefix))
                 x = _heads(prefix, ready[len(prefix)], length)
             yield rep, (x - x // np.uint64(n) * np.uint64(n)).astype(np.intp)
+
+
+def sequential(seed: int, n: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Without end, in pieces, what ``random.Random(seed).randrange(n)`` gives call by call: its generator's 32-bit words, cut to the bits of ``n``, those of ``n`` or more left out."""
+    if not 0 < n < 1 << 32:
+        raise ValueError("a number of 32 bits is needed")
+    _, (*key, at), _ = random.Random(seed).getstate()
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+    words, shift = np.random.Generator(bits), np.uint32(32 - n.bit_length())
+    while True:
+        x = words.integers(0, 1 << 32, block, np.uint32) >> shift
+        yield x[x < n]

@@ -267,29 +267,35 @@ def verified_share(labels: DataFrame) -> DataFrame:
     return out.withColumn("verified_share", share("verified", "cases"))
 
 
-#: Units that the sequential bootstrap takes to one place.
-MOST_UNITS = 1_000_000
+#: Units, and kinds of units, that the sequential bootstrap takes to one place (up to 4 bytes a unit).
+MOST_UNITS, MOST_UNIT_KINDS = 250_000_000, 1_000_000
 
 
 def alpha_bootstrap_python(labels: DataFrame, draws: int = 300, seed: int = 20260825) -> DataFrame:
     """The interval of alpha with Python's own generator, draw by draw, as a reference for ``alpha_bootstrap``.
 
-    Sequential by definition, so it takes the units' counts (never the labels)
-    to the driver, up to MOST_UNITS.
+    Sequential by definition, so it takes the units' kinds by number (never the
+    labels) to the driver, up to MOST_UNITS, and draws there in long arrays.
     """
-    import random
-
-    rows = unit_values(labels).select("question_id", "image_id", "n", "squares", *VALUES).orderBy("question_id", "image_id").limit(MOST_UNITS + 1).collect()
-    if len(rows) > MOST_UNITS:
+    u = unit_values(labels).select("question_id", "image_id", "n", "squares", *VALUES)
+    units, kinds = _kinds(u, MOST_UNIT_KINDS)
+    if kinds is None or units > MOST_UNITS:
         raise ValueError("too many units for the sequential bootstrap; use alpha_bootstrap")
-    draw, found = random.Random(seed).randrange, []
-    for _ in range(draws if len(rows) >= 4 else 0):
-        some = [rows[draw(len(rows))] for _ in rows]
-        total = sum(r["n"] for r in some)
-        expected = (total * total - sum(sum(r[v] for r in some) ** 2 for v in VALUES)) / (total - 1)
-        if expected > 0:
-            found.append(1 - sum((r["n"] ** 2 - r["squares"]) / (r["n"] - 1) for r in some) / expected)
+    found = []
+    if units >= 4:
+        where, (d_o, counts) = _packed(u, kinds), _measures(kinds)
+        pieces, rest = draw.sequential(seed, units), np.zeros(0, np.uint32)
+        for _ in range(draws):
+            seen, left = np.zeros(len(kinds), np.int64), units
+            while left:
+                rest = rest if len(rest) else next(pieces)
+                seen += np.bincount(where[rest[:left]], minlength=len(kinds))
+                rest, left = rest[left:], max(0, left - len(rest))
+            total, *m = (int(x) for x in seen @ counts)
+            expected = (total * total - sum(x * x for x in m)) / (total - 1)
+            if expected > 0:
+                found.append(1 - float(seen @ d_o) / expected)
     known = labels.sparkSession.createDataFrame([(float(x),) for x in found], "alpha double")
     ends = known.agg(F.count("*").alias("defined"), F.percentile("alpha", F.lit(0.025)).alias("low"), F.percentile("alpha", F.lit(0.975)).alias("high"))
     ok = F.col("defined") * 2 >= draws
-    return ends.select(F.lit(len(rows)).cast("long").alias("units"), "defined", F.when(ok, F.col("low")).alias("low"), F.when(ok, F.col("high")).alias("high"))
+    return ends.select(F.lit(units).cast("long").alias("units"), "defined", F.when(ok, F.col("low")).alias("low"), F.when(ok, F.col("high")).alias("high"))

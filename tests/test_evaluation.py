@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,6 +254,29 @@ def test_hash_bootstrap_makes_no_row_a_draw(spark, monkeypatch):
     assert (a.units, a.defined) == (b.units, b.defined) == (3000, 120) and a.low == pytest.approx(b.low, abs=1e-12) and a.high == pytest.approx(b.high, abs=1e-12)
 
 
+def test_sequential_draws_equal_python_call_by_call(spark):
+    for seed, n in ((1, 5), (20260825, 147_236), (42, 2**31 + 5), (3, 1), (3, 64)):
+        rng = random.Random(seed)
+        got = itertools.islice(itertools.chain.from_iterable(x.tolist() for x in draws.sequential(seed, n, 700)), 2000)
+        assert list(got) == [rng.randrange(n) for _ in range(2000)]
+    df = _many_labels(spark, 500)
+    rows, rng, want = agreement.unit_values(df).orderBy("question_id", "image_id").collect(), random.Random(5), []
+    for _ in range(40):
+        some = [rows[rng.randrange(len(rows))] for _ in rows]
+        total = sum(r.n for r in some)
+        expected = (total**2 - sum(sum(r[v] for r in some) ** 2 for v in agreement.VALUES)) / (total - 1)
+        want.append(1 - sum((r.n**2 - r.squares) / (r.n - 1) for r in some) / expected)
+    want = sorted(want)
+    at = lambda q: want[int(39 * q)] + (want[int(39 * q) + 1] - want[int(39 * q)]) * (39 * q % 1)
+    got = agreement.alpha_bootstrap_python(df, 40, seed=5).first()
+    assert (got.units, got.defined, got.low, got.high) == (500, 40, pytest.approx(at(0.025), abs=1e-12), pytest.approx(at(0.975), abs=1e-12))
+
+
+def test_sequential_bootstrap_takes_more_than_a_million_units(spark):
+    got = agreement.alpha_bootstrap_python(_many_labels(spark, 1_000_001), 3).first()
+    assert (got.units, got.defined) == (1_000_001, 3) and got.low <= got.high
+
+
 def test_registered_bootstraps_take_800_draws(spark, monkeypatch):
     data = [label(i, w, "yes" if (i + k) % 3 else "no") for i in range(12) for k, w in enumerate("ab")]
     monkeypatch.setattr(queries, "labels", lambda spark, d: spark.createDataFrame(data, LABEL))
